@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that nothing refers to any more: what was shuffled before a cut needn't stay on disk."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def join_checked(left: DataFrame, right: DataFrame, on, how: str, right_rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Joins a narrow, already counted right side: broadcast within the limit, else a shuffled join.
 

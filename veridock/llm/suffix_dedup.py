@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import BASE, INVERSE, groups_of, mixed, powers
-from .common import cut, text_or_empty
+from .common import cut, release, text_or_empty
 
 #: Length of a repeat; bytes of a suffix that count as its leading tokens; what may lie to the left of an anchor inside a repeat.
 SPAN, LEAD = 100, 32
@@ -26,7 +26,7 @@ HOT_FLOOR, MOST_HOT = 4_000, 500_000
 #: Leads sampled for the splitters, per bucket and in all.
 SAMPLE_PER_BUCKET, MOST_SAMPLED = 32, 200_000
 #: A packed table of per-document positions is broadcast only up to so many bytes and rows; beyond, texts are shuffled.
-BROADCAST_BYTES, BROADCAST_DOCS = 48 << 20, 400_000
+BROADCAST_BYTES, BROADCAST_DOCS = 1 << 20, 20_000
 
 ANCHOR = np.dtype([("key", "u8"), ("doc", "i8"), ("pos", "u4"), ("n", "u4")])
 SUFFIX = np.dtype([("doc", "i8"), ("pos", "u4"), ("left", "u1"), ("right", "u1"), ("bytes", "u1", (CONTEXT,))])
@@ -426,8 +426,11 @@ def covered_places(docs: DataFrame, hot_floor: int = HOT_FLOOR) -> DataFrame:
     parts = max(1024, size >> 24)
     work, done = _repeated(parts, hot_floor)
     found = cut(by_part(docs.mapInPandas(_find(parts), PARTS), work, FOUND, done))
+    release(spark)
     hot = found.where("kind = 2").orderBy(F.desc("total"), "lead").limit(MOST_HOT).select("lead").toPandas()["lead"].to_numpy(np.int64).view(np.uint64)
     places = cut(by_part(found.where("kind <> 2").select("kind", "part", "blob"), _points, "doc long, places binary"))
+    del found
+    release(spark)
     marked = _attach(docs, places, "inner")
     n = (places.agg(F.sum(F.octet_length("places"))).first()[0] or 0) // 4
     # the sample only balances the buckets: of many places, those of a sixteenth of the documents are looked at
@@ -467,6 +470,7 @@ def suffix_dedup(docs: DataFrame, hot_floor: int = HOT_FLOOR) -> DataFrame:
     """
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc"), F.col("doc_id"), text_or_empty().alias("text"))
     places = covered_places(own.select("doc", "text"), hot_floor)
+    release(docs.sparkSession)
 
     @F.pandas_udf("n_removed long, n_spans long, kept_sha256 string")
     def run(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
