@@ -20,7 +20,7 @@ CAPACITY, END_ID = 4096, 2
 #: Sequence ids: the task's partition above, a count within the task below.
 PER_TASK = 1 << 34
 #: Texts tokenised at once, in characters; words kept in a worker's table.
-AT_ONCE, MOST_WORDS = 1 << 20, 3_000_000
+AT_ONCE, MOST_WORDS = 1 << 19, 1_000_000
 
 
 SPACE_BYTE, WORD_BYTE, MARK_BYTE, GLUE_BYTE = range(4)

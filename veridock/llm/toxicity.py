@@ -17,8 +17,8 @@ from .common import cut, text_or_empty
 SMALL_BIGRAM, SMALL_WORD, SPREAD = 0.75, 3.0, 2.0
 #: Mass that both classes leave to the shared backoff; weight of the uniform distribution in it; strength (in words) of backing off from a context.
 SHARED, UNIFORM, STRENGTH = 0.02, 0.01, 1e5
-#: Bigrams met less often are backed off from. Words that speak for a class by more than STRONG (nats) are also summed up by themselves.
-CUTOFF, STRONG = 2, 2.0
+#: Words that speak for a class by more than STRONG (nats) are also summed up by themselves.
+STRONG = 2.0
 #: Bounds of the labelled samples (rows): per class for the counts, in all for the calibration.
 FIT_ROWS, CALIBRATION_ROWS = 5_000, 5_000
 #: Context of a text's first word.
@@ -70,7 +70,7 @@ class Model(NamedTuple):
     def features(self, texts: list[str]) -> np.ndarray:
         """Per text, of the words' log-likelihood differences: the mean; of those that are STRONG, the sum over the length and over its root."""
         out = np.zeros((len(texts), 3))
-        for a, b in groups_of(texts, 1 << 20):
+        for a, b in groups_of(texts, 1 << 19):
             ctx, word, key, n = bigrams_of(texts[a:b])
             slot, seen = self.bigrams.find(key)
             diff = np.where(seen, self.bigrams.values[slot], 0).astype(np.float64)
@@ -110,35 +110,48 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return np.r_[w[0] - slopes @ mean, slopes]
 
 
-def _class_parts(n: np.ndarray, ctx_of: np.ndarray, word_of: np.ndarray, size: int) -> tuple:
-    """Of one class, from bigram counts n with word numbers: context totals, context types, continuation counts."""
-    seen = n > 0
-    return np.bincount(ctx_of, n, size), np.bincount(ctx_of[seen], minlength=size), np.bincount(word_of[seen], minlength=size)
+def _left(n: np.ndarray, least: float) -> np.ndarray:
+    """Counts after the discount."""
+    return np.maximum(n - np.maximum(least, SPREAD * np.sqrt(n)), 0)
 
 
-def fit(bigrams: pd.DataFrame) -> Model:
-    """Model without calibration from columns ctx, word, key, toxic, ordinary (counts by class)."""
+#: A count up to this leaves nothing after the discount (SPREAD squared).
+NOTHING = 4
+
+
+def fit(bigrams: pd.DataFrame, words: pd.DataFrame, sums: tuple[float, float], kinds: int) -> Model:
+    """Model without calibration.
+
+    bigrams: ctx, word, key, toxic, ordinary (counts by class), ctx_toxic, ctx_ordinary (words after that context); only those with a count over NOTHING in a class.
+    words: word, toxic, ordinary (contexts that a word follows, by class); only those with more than NOTHING in a class, or in a bigram above. sums: all such contexts by
+    class. kinds: number of distinct words. All other bigrams are backed off from and all other words are shared, so their differences are zero.
+    """
+    names, order = np.unique(words["word"].to_numpy(dtype=np.int64).view(np.uint64), return_index=True)
     ctx, word, key = (bigrams[c].to_numpy(dtype=np.int64).view(np.uint64) for c in ("ctx", "word", "key"))
-    names, number = np.unique(np.r_[ctx, word], return_inverse=True)
-    ctx_of, word_of, size = number[: len(ctx)], number[len(ctx) :], max(1, len(names))
-    counts = [bigrams[c].to_numpy(dtype=np.float64) for c in ("toxic", "ordinary")]
-    parts = [_class_parts(n, ctx_of, word_of, size) for n in counts]
-    shared = sum(p[2] / max(1, p[2].sum()) for p in parts) / 2 * (1 - UNIFORM) + UNIFORM / (size + 1)
+    if not len(names):
+        return Model(Table(np.float32), Table(np.dtype((np.float32, 2))), 0.0, np.zeros(4))
+    follows = [words[c].to_numpy(dtype=np.float64)[order] for c in ("toxic", "ordinary")]
+    shared = sum(f / max(1.0, n) for f, n in zip(follows, sums, strict=True)) / 2 * (1 - UNIFORM) + UNIFORM / (kinds + 1)
+    contexts, first, number = np.unique(ctx, return_index=True, return_inverse=True)
+    word_of = np.searchsorted(names, word)
     high, low, back = [], [], []
-    for n, (total, _, continued) in zip(counts, parts, strict=True):
-        own = np.maximum(continued - np.maximum(SMALL_WORD, SPREAD * np.sqrt(continued)), 0)
+    for c, f in zip(("toxic", "ordinary"), follows, strict=True):
+        own = _left(f, SMALL_WORD)
         base = (1 - SHARED) * own / own.sum() + SHARED * shared if own.any() else shared
-        own = np.maximum(n - np.maximum(SMALL_BIGRAM, SPREAD * np.sqrt(n)), 0)
-        leave = (total - np.bincount(ctx_of, own, size) + STRENGTH) / (total + STRENGTH)
-        high.append(np.log(own / (total[ctx_of] + STRENGTH) + leave[ctx_of] * base[word_of]))
+        total = bigrams[f"ctx_{c}"].to_numpy(dtype=np.float64)[first]
+        own = _left(bigrams[c].to_numpy(dtype=np.float64), SMALL_BIGRAM)
+        leave = (total - np.bincount(number, own, len(contexts)) + STRENGTH) / (total + STRENGTH)
+        high.append(np.log(own / (total[number] + STRENGTH) + leave[number] * base[word_of]))
         low.append(np.log(leave))
         back.append(np.log(base))
-    keep = counts[0] + counts[1] >= CUTOFF
-    pairs, words = Table(np.float32), Table(np.dtype((np.float32, 2)))
-    pairs.add(key[keep], (high[0] - high[1])[keep].astype(np.float32))
-    if len(names):
-        words.add(names, np.c_[low[0] - low[1], back[0] - back[1]].astype(np.float32))
-    return Model(pairs, words, 0.0, np.zeros(4))
+    every = np.unique(np.r_[names, contexts])
+    diff = np.zeros((len(every), 2), np.float32)
+    diff[np.searchsorted(every, contexts), 0] = low[0] - low[1]
+    diff[np.searchsorted(every, names), 1] = back[0] - back[1]
+    pairs, table = Table(np.float32), Table(np.dtype((np.float32, 2)))
+    pairs.add(key, (high[0] - high[1]).astype(np.float32))
+    table.add(every, diff)
+    return Model(pairs, table, 0.0, np.zeros(4))
 
 
 def fold(name: str = "doc_id"):
@@ -166,7 +179,14 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, calibrat
         own = own.withColumns({c: F.col("n") if c == name else F.lit(0).cast("long") for c in ("toxic", "ordinary")})
         both = own if both is None else both.unionAll(own)
     counted = both.groupBy("key").agg(F.min("ctx").alias("ctx"), F.min("word").alias("word"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    model = fit(counted.select("ctx", "word", "key", F.col("toxic").cast("int"), F.col("ordinary").cast("int")).toArrow().to_pandas(split_blocks=True, self_destruct=True))
+    counted = cut(counted)
+    strong = cut(counted.where((F.col("toxic") > NOTHING) | (F.col("ordinary") > NOTHING)))
+    totals = counted.groupBy("ctx").agg(F.sum("toxic").alias("ctx_toxic"), F.sum("ordinary").alias("ctx_ordinary"))
+    follows = cut(counted.groupBy("word").agg(F.count(F.when(F.col("toxic") > 0, 1)).alias("toxic"), F.count(F.when(F.col("ordinary") > 0, 1)).alias("ordinary")))
+    met = strong.select("word").distinct().withColumn("met", F.lit(True))
+    words = follows.join(met, "word", "left").where((F.col("toxic") > NOTHING) | (F.col("ordinary") > NOTHING) | F.col("met")).drop("met")
+    all_ = follows.agg(F.sum("toxic"), F.sum("ordinary"), F.count("*")).first()
+    model = fit(strong.join(totals, "ctx").toPandas(), words.toPandas(), (float(all_[0] or 0), float(all_[1] or 0)), all_[2])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     seen = _features(sample.where("check").select("toxic", "text"), shared).toPandas()
     return model._replace(weights=calibrate(seen[["mean", "strong", "root"]].to_numpy(dtype=np.float64), seen["toxic"].to_numpy(dtype=np.float64)))
