@@ -50,4 +50,4 @@ def exact_dedup(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFr
     Of repeated rows with the same id and text all stay (they are the same document).
     """
     gone = cut(exact_groups(docs, broadcast_rows=broadcast_rows).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct())
-    return join_checked(docs, gone, F.col("doc_id") == F.col("_gone"), "left_anti", gone.count(), 20 * broadcast_rows)
+    return join_checked(docs, gone, F.col("doc_id") == F.col("_gone"), "left_anti", gone.count(), 5 * broadcast_rows)

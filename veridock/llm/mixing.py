@@ -87,6 +87,6 @@ def mixed_documents(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **opt
     """
     times = mix(docs, **options).groupBy("doc_id", "source", "ordinal").agg(F.sum(F.when((F.col("size") == 0) | (2 * F.col("taken") >= F.col("size")), 1).otherwise(0)).alias("n"))
     times = cut(times.groupBy(F.col("doc_id").alias("_id")).agg(F.max("n").cast("int").alias("_n")).where("_n <> 1"))
-    out = join_checked(docs, times, F.col("doc_id").eqNullSafe(F.col("_id")), "left", times.count(), 20 * broadcast_rows)
+    out = join_checked(docs, times, F.col("doc_id").eqNullSafe(F.col("_id")), "left", times.count(), 5 * broadcast_rows)
     copies = F.coalesce("_n", F.lit(1))
     return out.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(*[docs[c] for c in docs.columns])

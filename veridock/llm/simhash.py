@@ -171,4 +171,4 @@ def near_dedup(docs: DataFrame, shingle: int = 3, bits: int = MAX_BITS, broadcas
     """
     gone = near_groups(docs.where(F.length(F.trim(text_or_empty())) > 0), shingle, bits)
     gone = cut(gone.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return join_checked(docs, gone, F.col("doc_id") == F.col("_gone"), "left_anti", gone.count(), 20 * broadcast_rows)
+    return join_checked(docs, gone, F.col("doc_id") == F.col("_gone"), "left_anti", gone.count(), 5 * broadcast_rows)
