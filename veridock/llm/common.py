@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,8 +46,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files that nothing refers to any more: what was shuffled before a cut needn't stay on disk."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the second pass frees what the first one's finalisers let go
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def join_checked(left: DataFrame, right: DataFrame, on, how: str, right_rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
