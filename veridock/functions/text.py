@@ -17,6 +17,11 @@ SECTION_NUMBER = r"^(\d+(?:\.\d+)*)\.?\s"
 TABLE_ROW = r"^\s*\|.*\|\s*$"
 
 
+def strip(x: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+
+
 def collapse(x: Column) -> Column:
     """Runs of white space become one space; the ends are trimmed."""
     return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
