@@ -1,9 +1,13 @@
+import base64
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from veridock.functions import labels
 from veridock.operators import modes
 from veridock.plans import control
+from veridock.sources import files
 from veridock.streaming.sessions import stream_facts
 
 
@@ -85,3 +89,22 @@ def test_stream_facts(spark, tmp_path):
     out.writeStream.format("memory").queryName("told").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
     got = {(r["session_id"], r["turn"]): (r["previous"], r["facts"]) for r in spark.table("told").collect()}
     assert got == {("s", 1): (None, {"age": "40"}), ("s", 2): ("q1", {"age": "40", "sex": "f"}), ("s", 3): ("q2", {"age": "20"}), ("t", 1): (None, {})}
+
+
+def test_profiles(spark, tmp_path):
+    (tmp_path / "b.toml").write_text('label = "B"\n[prompts]\nask = "x"\n[abbreviations]\nA = "second"\nC = "cc"\n', encoding="utf-8")
+    (tmp_path / "a.toml").write_text('[prompts]\nask = "y"\n[abbreviations]\nA = "first"\n', encoding="utf-8")
+    got = files.read_profiles(spark, str(tmp_path), ("ask",))
+    assert [(r["specialty"], r["label"]) for r in got.collect()] == [("a", "a"), ("b", "B")]
+    assert {r["abbreviation"]: r["name"] for r in files.all_abbreviations(got).collect()} == {"A": "first", "C": "cc"}
+    with pytest.raises(ValueError):
+        files.read_profiles(spark, str(tmp_path), ("ask", "other"))
+
+
+def test_decoded_vectors(spark):
+    m = np.array([[1.5, -2.25, 0.0], [3e-40, -1e30, 0.1]], "<f4")
+    frame = lambda rows: spark.createDataFrame([(base64.b64encode(m.tobytes()).decode(), rows)], "matrix string, rows int")
+    got = files.decoded_vectors(frame(2), 3).orderBy("row").collect()
+    assert np.array_equal(np.array([r["v"] for r in got], "f4"), m)
+    with pytest.raises(Exception, match="matrix size"):
+        files.decoded_vectors(frame(3), 3).collect()
