@@ -13,7 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 from xxhash import xxh64_intdigest
 
-from veridock.llm import exact_dedup, mixing, packing, secrets, simhash, suffix_dedup, token_counts, topk, toxicity, warc
+from veridock.llm import exact_dedup, mixing, near_dedup, packing, secrets, simhash, suffix_dedup, token_counts, topk, toxicity, warc
 from veridock.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, h string, size int"
@@ -95,6 +95,51 @@ def test_simhash(docs, none):
     assert (simhash._local_components(x, 1) == simhash._probed_components(x, 1)).all()
 
 
+def jaccard_components(texts, least=0.8):
+    """For each text with words, the number of its component under similarity of five-word shingles; else None."""
+    def grams(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else None
+
+    sets, label = [grams(t) for t in texts], list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if sets[i] and sets[j] and label[i] != label[j] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+            label = [label[i] if x == label[j] else x for x in label]
+    return [x if s else None for x, s in zip(label, sets, strict=True)]
+
+
+def near_copies(seed=11):
+    """Texts of 40 to 600 words with copies of similarity about 0.7 to 0.97, chains of copies, and templates that share half."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+
+    def changed(text, share):
+        w = text.split()
+        for i in rng.sample(range(len(w)), max(1, round(share * len(w)))):
+            w[i] = word()
+        return " ".join(w)
+
+    base = [" ".join(word() for _ in range(rng.choice([40, 100, 300, 600]))) for _ in range(30)]
+    out = list(base)
+    for b in base:
+        out += [changed(b, share) for share in (0.003, 0.01, 0.015, 0.02, 0.022, 0.025, 0.03, 0.04)]
+    for _ in range(20):
+        out.append(changed(out[-1], 0.015))
+    template = " ".join(word() for _ in range(120))
+    out += [template + " " + " ".join(word() for _ in range(60)) for _ in range(20)]
+    return out + ["one two", "One  two", "three", "", None, "\t"]
+
+
+def test_near_dedup_finds_copies_of_similarity_08(spark):
+    texts = near_copies()
+    label = jaccard_components(texts)
+    want = {i for i, x in enumerate(label) if x is None or i == min(j for j, y in enumerate(label) if x == y)}
+    d = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    got = near_dedup.near_dedup(d)
+    assert got.columns == d.columns
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(want)
+
+
 def test_links_and_components(spark):
     rng = random.Random(9)
     base = [rng.getrandbits(64) for _ in range(30)]

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, join_checked, text_or_empty
+from .common import cut, join_checked, text_or_empty
 from .components import connected_components
 
 SEED, MAX_BITS, BYTES = 42, 3, 8
@@ -162,13 +162,3 @@ def near_groups(docs: DataFrame, shingle: int = 3, bits: int = MAX_BITS) -> Data
     label = cut(join_checked(prints, linked, "fp", "left", n).select("fp", F.coalesce("first", "least").alias("component_id")))
     out = join_checked(rows, label, "fp", "inner", label.count())
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def near_dedup(docs: DataFrame, shingle: int = 3, bits: int = MAX_BITS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """docs with one document of each component: the one with the smallest id. All columns stay.
-
-    Rows without words (null or empty text) are left as they are: they have no shingles to be near by.
-    """
-    gone = near_groups(docs.where(F.length(F.trim(text_or_empty())) > 0), shingle, bits)
-    gone = cut(gone.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return join_checked(docs, gone, F.col("doc_id") == F.col("_gone"), "left_anti", gone.count(), 5 * broadcast_rows)
