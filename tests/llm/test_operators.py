@@ -10,6 +10,7 @@ from zlib import crc32
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from xxhash import xxh64_intdigest
 
@@ -140,6 +141,21 @@ def test_near_dedup_finds_copies_of_similarity_08(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(want)
 
 
+def test_dedup_stages_keep_one_row_of_each_text(spark):
+    rng = random.Random(4)
+    a, b, c, d = (" ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(60)) for _ in range(4))
+    rows = [(1, a, "s1"), (1, a, "s1"), (1, a, "s0"), (2, a.replace(" ", "  ", 1), "s1")]  # a batch loaded twice, and a copy
+    rows += [(None, b, "s1"), (None, b, "s1"), (None, b, "s2")]  # copies without id
+    rows += [(3, c, "s1"), (4, c, "s1"), (4, d, "s1")]  # an id that two texts share, one of them a copy
+    rows += [(None, c, "s1"), (None, a + " x", "s1"), (5, d + " x", "s1")]  # the last two: near copies only
+    whole = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want = Counter([(1, a, "s0"), (None, b, "s1"), (3, c, "s1"), (4, d, "s1")])
+    near = Counter([(None, a + " x", "s1"), (5, d + " x", "s1")])
+    assert rows_of(exact_dedup.exact_dedup(whole)) == want + near
+    assert rows_of(exact_dedup.exact_dedup(whole, hash_of=lambda n: F.substring(n, 1, 0), broadcast_rows=0)) == want + near  # collisions
+    assert rows_of(near_dedup.near_dedup(whole)) == want
+
+
 def test_links_and_components(spark):
     rng = random.Random(9)
     base = [rng.getrandbits(64) for _ in range(30)]

@@ -61,6 +61,26 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str, right_rows: in
     return left.join(F.broadcast(right) if right_rows <= limit else right, on, how)
 
 
+def keep_one(docs: DataFrame, key: Column, members: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """docs with one row of each group: the one with the smallest doc_id (null counts as the largest), then the smallest key.
+
+    key is a hash of the row's text; members(doc_id, k, g) gives the group g of each doc_id and key k. Rows that are equal
+    in both are told apart by their other columns, of which the smallest stay. Rows that no member names stay too.
+    """
+    each = cut(members.groupBy("doc_id", "k", "g").agg(F.count("*").alias("n")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("first")
+    groups = cut(each.groupBy("g").agg(first, F.sum("n").alias("total")).where("total > 1").select("g", "first"))
+    marks = join_checked(each, groups, "g", "inner", groups.count())
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("k") == F.col("first.k"))
+    marks = cut(marks.withColumn("_tied", is_first).where("NOT _tied OR n > 1").select(F.col("doc_id").alias("_id"), F.col("k").alias("_key"), "_tied"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key"))
+    out = join_checked(docs.withColumn("_k", key), marks, same, "left", marks.count(), 5 * broadcast_rows)
+    kept = out.where("_tied IS NULL").select(*docs.columns)
+    if marks.where("_tied").isEmpty():
+        return kept
+    return kept.unionByName(out.where("_tied").groupBy("_id", "_key").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*"))
+
+
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Rows numbered from 0 in a total order, without one task seeing them all.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SPACE, cut, join_checked, text_or_empty
+from .common import BROADCAST_ROWS, SPACE, cut, join_checked, keep_one, text_or_empty
 
 
 def normalised(name: str = "text") -> Column:
@@ -44,10 +44,13 @@ def exact_groups(docs: DataFrame, hash_of=content_hash, broadcast_rows: int = BR
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def exact_dedup(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """docs without the rows that repeat another row's text; all columns stay.
+def exact_dedup(docs: DataFrame, hash_of=content_hash, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """docs with one row of each text: the one with the smallest id, where null counts as the largest. All columns stay.
 
-    Of repeated rows with the same id and text all stay (they are the same document).
+    Rows are told apart by id and text, so repeated rows and rows without id lose their copies too, and an id that two
+    texts share loses none of them.
     """
-    gone = cut(exact_groups(docs, broadcast_rows=broadcast_rows).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct())
-    return join_checked(docs, gone, F.col("doc_id") == F.col("_gone"), "left_anti", gone.count(), 5 * broadcast_rows)
+    groups = exact_groups(docs, hash_of, broadcast_rows)
+    digest = F.unhex(F.col("text_sha256"))
+    key = F.unhex(F.sha2(normalised(), 256))
+    return keep_one(docs, key, groups.select("doc_id", digest.alias("k"), digest.alias("g")), broadcast_rows)
