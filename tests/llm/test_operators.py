@@ -120,11 +120,11 @@ def near_copies(seed=11):
             w[i] = word()
         return " ".join(w)
 
-    base = [" ".join(word() for _ in range(rng.choice([40, 100, 300, 600]))) for _ in range(30)]
+    base = [" ".join(word() for _ in range(rng.choice([40, 100, 300, 600]))) for _ in range(8)]
     out = list(base)
     for b in base:
         out += [changed(b, share) for share in (0.003, 0.01, 0.015, 0.02, 0.022, 0.025, 0.03, 0.04)]
-    for _ in range(20):
+    for _ in range(5):
         out.append(changed(out[-1], 0.015))
     template = " ".join(word() for _ in range(120))
     out += [template + " " + " ".join(word() for _ in range(60)) for _ in range(20)]
