@@ -78,6 +78,23 @@ def test_graph(spark):
     assert sum(rank.values()) == pytest.approx(1) and rank["a"] > rank["c"]
 
 
+def test_converged_pagerank(spark):
+    pairs = [(a, b) for a in range(7) for b in range(a + 1, 7) if a + b != 7]
+    want, mass = [1 / 8] * 8, [0.75, 0, 0, 0, 0, 0, 0, 0.25]  # node 7 has no edges
+    ways = pairs + [(b, a) for a, b in pairs]
+    degree = [sum(a == x for a, _ in ways) for x in range(8)]
+    while True:
+        got = [sum(want[a] / degree[a] for a, b in ways if b == x) for x in range(8)]
+        new = [0.85 * got[x] + (0.85 * want[7] + 0.15) * mass[x] for x in range(8)]
+        change, want = sum(abs(a - b) for a, b in zip(new, want, strict=True)), new
+        if change < 8e-6:
+            break
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    reset = spark.createDataFrame([(0, 0.75), (7, 0.25)], "node long, mass double")
+    assert {r["node"]: r["rank"] for r in graph.converged_pagerank(edges, reset).collect()} == pytest.approx(dict(enumerate(want)), abs=1e-12)
+    assert graph.converged_pagerank(edges, reset, max_iter=1).count() == 0
+
+
 def test_extraction(spark):
     lines = spark.createDataFrame([("d", p, n, x) for p in (1, 2, 3) for n, x in enumerate([f"Guía de práctica {p}", f"texto {p} uno", f"texto {p} dos", "tres", str(p)])], "doc_id string, page int, line_no int, text string")
     assert [r["key"] for r in extraction.running_heads(lines).collect()] == ["guía de práctica"]

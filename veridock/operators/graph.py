@@ -77,6 +77,32 @@ def pagerank(edges: DataFrame, reset: DataFrame, alpha: float = 0.85, rounds: in
     return rank
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def converged_pagerank(edges: DataFrame, reset: DataFrame, alpha: float = 0.85, tol: float = 1e-6, max_iter: int = 100) -> DataFrame:
+    """(node, rank): pagerank() as far as the reference's tolerance: rounds stop when the sum of changes is under tol * nodes.
+
+    No rows if max_iter rounds don't reach that. Each round is cut (locally where no checkpoint folder is set) and its change comes to the driver.
+    """
+    steps = _cut(both_ways(edges).join(degree(edges), F.col("src") == F.col("node")).select("src", "dst", "degree"))
+    nodes = steps.select(F.col("src").alias("node")).unionAll(reset.select("node")).distinct()
+    base = _cut(nodes.join(reset, "node", "left").select("node", F.coalesce("mass", F.lit(0.0)).alias("mass")))
+    n = base.count()
+    rank = base.select("node", F.lit(1.0 / max(n, 1)).alias("rank"))
+    for _ in range(max_iter):
+        sent = _cut(rank.join(steps, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got")))
+        moved = sent.agg(F.sum("got")).first()[0] or 0.0
+        new = base.join(sent, "node", "left").select("node", (alpha * F.coalesce("got", F.lit(0.0)) + (alpha * (1 - moved) + 1 - alpha) * F.col("mass")).alias("rank"))
+        new = _cut(new.join(rank.withColumnRenamed("rank", "old"), "node"))
+        change = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0
+        rank = new.select("node", "rank")
+        if change < tol * n:
+            return rank
+    return rank.limit(0)
+
+
 def similar_pairs(vectors: DataFrame, threshold: float, block: int = 512) -> DataFrame:
     """(a, b, similarity) of all pairs a < b whose dot product reaches the threshold, by blocked matrix products.
 
