@@ -9,19 +9,21 @@ import numpy as np
 #: An odd multiplier of polynomial hashes modulo 2**64 and its inverse.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+#: Bytes hashed at a time, and the length of the tables of powers that are kept.
+BLOCK = 1 << 16
 _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1), modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+    if n > BLOCK + 1 or base not in _powers:
+        steps = np.full(max(n, BLOCK + 1), base, dtype=np.uint64)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
-        if n <= 1 << 23:
-            _powers[base] = have
-    return have[:n]
+        if n > BLOCK + 1:
+            return have
+        _powers[base] = have
+    return _powers[base][:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -32,13 +34,23 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[s:e] for each span, from one running sum over the bytes."""
-    running = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=running[1:])
-    return mixed((running[ends] - running[starts]) * powers(INVERSE, len(data) + 1)[starts])
-
-
-def groups_of(texts: Sequence, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+    """A 64-bit hash of data[s:e] for each of sorted spans, from running sums over blocks of bytes.
+
+    Two spans can share a hash, and such pairs are easy to make, so it serves only where that changes no result that has to be exact.
+    """
+    out, a = np.empty(len(starts), np.uint64), 0
+    while a < len(starts):
+        low = starts[a]
+        b = max(a + 1, int(np.searchsorted(ends, low + BLOCK, side="right")))
+        own = data[low : ends[b - 1]]
+        running = np.zeros(len(own) + 1, dtype=np.uint64)
+        np.cumsum((own.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(own)), out=running[1:])
+        out[a:b] = mixed((running[ends[a:b] - low] - running[starts[a:b] - low]) * powers(INVERSE, len(own) + 1)[starts[a:b] - low])
+        a = b
+    return out
+
+
+def groups_of(texts: Sequence, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of texts of about limit bytes (or characters) each; a longer text stands alone."""
     at, size = 0, 0
     for i, t in enumerate(texts):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -21,10 +22,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all runs in one process (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veridock-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="veridock-"))
     return sc.getCheckpointDir()
 
 
@@ -61,24 +65,35 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str, right_rows: in
     return left.join(F.broadcast(right) if right_rows <= limit else right, on, how)
 
 
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct `row`, so that no column of the operator can clash with one of docs; select("row.*") gives them back."""
+    return F.struct(*[quoted(c) for c in docs.columns]).alias("row")
+
+
 def keep_one(docs: DataFrame, key: Column, members: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs with one row of each group: the one with the smallest doc_id (null counts as the largest), then the smallest key.
 
     key is a hash of the row's text; members(doc_id, k, g) gives the group g of each doc_id and key k. Rows that are equal
-    in both are told apart by their other columns, of which the smallest stay. Rows that no member names stay too.
+    in both are told apart by their other columns, of which the smallest stay (any, if a map is among them). Rows that no
+    member names stay too. Names of other columns are free.
     """
     each = cut(members.groupBy("doc_id", "k", "g").agg(F.count("*").alias("n")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("first")
     groups = cut(each.groupBy("g").agg(first, F.sum("n").alias("total")).where("total > 1").select("g", "first"))
     marks = join_checked(each, groups, "g", "inner", groups.count())
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("k") == F.col("first.k"))
-    marks = cut(marks.withColumn("_tied", is_first).where("NOT _tied OR n > 1").select(F.col("doc_id").alias("_id"), F.col("k").alias("_key"), "_tied"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key"))
-    out = join_checked(docs.withColumn("_k", key), marks, same, "left", marks.count(), 5 * broadcast_rows)
-    kept = out.where("_tied IS NULL").select(*docs.columns)
-    if marks.where("_tied").isEmpty():
+    marks = cut(marks.withColumn("tied", is_first).where("NOT tied OR n > 1").select(F.col("doc_id").alias("id"), F.col("k").alias("key"), "tied"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("k") == F.col("key"))
+    out = join_checked(docs.select(whole_row(docs), key.alias("k")), marks, same, "left", marks.count(), 5 * broadcast_rows)
+    kept = out.where("tied IS NULL").select("row.*")
+    if marks.where("tied").isEmpty():
         return kept
-    return kept.unionByName(out.where("_tied").groupBy("_id", "_key").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*"))
+    one = F.any_value("row") if "map<" in docs.schema.simpleString() else F.min("row")
+    return kept.unionByName(out.where("tied").groupBy("id", "key").agg(one.alias("row")).select("row.*"))
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:

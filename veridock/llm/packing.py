@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -12,30 +13,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import Table, groups_of, span_hashes
+from .bytewords import groups_of
 from .common import text_or_empty
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 CAPACITY, END_ID = 4096, 2
 #: Sequence ids: the task's partition above, a count within the task below.
 PER_TASK = 1 << 34
-#: Texts tokenised at once, in characters; words kept in a worker's table.
-AT_ONCE, MOST_WORDS = 1 << 19, 1_000_000
+#: Texts tokenised at once, in characters; words kept in a worker's table, and their bytes.
+AT_ONCE, MOST_WORDS, MOST_BYTES = 1 << 19, 300_000, 16 << 20
 
-
-SPACE_BYTE, WORD_BYTE, MARK_BYTE, GLUE_BYTE = range(4)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
-_KIND = np.full(256, GLUE_BYTE, np.uint8)
-_KIND[:128] = [SPACE_BYTE if c in (32, *range(9, 14)) else WORD_BYTE if chr(c).isalnum() else GLUE_BYTE if chr(c) == "'" or c < 32 or c == 127 else MARK_BYTE for c in range(128)]
+#: ASCII letters and digits; ASCII marks but the apostrophe of contractions; all else that isn't white space.
+_WORD, _MARK, _GLUE = rb"[0-9A-Za-z]", rb"[!-&(-/:-@\[-`{-~]", rb"[\x00-\x08\x0e-\x1f'\x7f-\xff]"
+_RUN = b"(?:" + _WORD + b"++|" + _MARK + b"++)"
+#: A part: no letter or digit stands directly beside a mark in it.
+PART = re.compile(_GLUE + b"*+" + _RUN + b"(?:" + _GLUE + b"++" + _RUN + b")*+" + _GLUE + b"*+|" + _GLUE + b"++")
 
 
 class WordIds:
     """Token ids of whole texts, by a table of words.
 
     The tokenizer lower-cases, drops white space, splits there, and splits between ASCII letters or digits and ASCII marks (but for the apostrophe of
-    contractions). A text's ids are therefore its parts' ids in a row. A part is given to the library when it is first met, and kept by the 64-bit hash
-    of its bytes. Texts that may hold special strings, which the library treats as it does by default, are split at white space only.
+    contractions). A text's ids are therefore its parts' ids in a row. A part is given to the library when it is first met, and kept by its bytes.
+    Texts that may hold special strings, which the library treats as it does by default, are split at white space only.
     """
 
     def __init__(self, path: str):
@@ -46,56 +46,48 @@ class WordIds:
         self._clear()
 
     def _clear(self) -> None:
-        self.table = Table(np.int32)
+        self.place: dict[bytes, int] = {}
+        self.bytes = 0
         self.first = np.zeros(1, np.int64)  # part i has ids[first[i]:first[i + 1]]
         self.ids = np.zeros(0, np.uint32)
 
-    def _indices(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        keys = span_hashes(data, starts, ends)
-        slot, hit = self.table.find(keys)
-        if not hit.all():
-            new, at = np.unique(keys[~hit], return_index=True)
-            at = np.flatnonzero(~hit)[at]
-            if self.table.n + len(new) > MOST_WORDS:
-                self._clear()
-                new, at = np.unique(keys, return_index=True)
-            raw, fresh = data.tobytes(), []
-            words = [raw[s:e].decode("utf-8") for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            for i in range(0, len(words), 4096):
-                fresh += [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(words[i : i + 4096], add_special_tokens=False)]
-            self.table.add(new, np.arange(len(self.first) - 1, len(self.first) - 1 + len(new), dtype=np.int32))
-            self.first = np.r_[self.first, self.first[-1] + np.cumsum([len(x) for x in fresh])]
-            self.ids = np.concatenate([self.ids, *fresh])
-            slot, _ = self.table.find(keys)
-        return self.table.values[slot].astype(np.int64)
+    def _learn(self, words: list[bytes]) -> None:
+        new = list(set(words).difference(self.place))
+        if not new:
+            return
+        if len(self.place) + len(new) > MOST_WORDS or self.bytes + sum(map(len, new)) > MOST_BYTES:
+            self._clear()
+            new = list(set(words))
+        fresh = []
+        for i in range(0, len(new), 4096):
+            got = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new[i : i + 4096]], add_special_tokens=False)
+            fresh += [np.array(x.ids, np.uint32) for x in got]
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+        self.bytes += sum(map(len, new))
+        self.first = np.r_[self.first, self.first[-1] + np.cumsum([len(x) for x in fresh])]
+        self.ids = np.concatenate([self.ids, *fresh])
 
     def _encode(self, texts: list[str], marks: bool) -> list[np.ndarray]:
-        encoded = [t.encode("utf-8") for t in texts]
-        data = np.frombuffer(b"\n".join(encoded) + b"\n", np.uint8)
-        data = _LOWER[data] if marks else data
-        kind = _KIND[data]
-        inside = kind != SPACE_BYTE
-        border = np.ones(len(data), bool)
-        border[1:] = inside[1:] != inside[:-1]
-        if marks:
-            border[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] != GLUE_BYTE) & (kind[:-1] != GLUE_BYTE)
-        edges = np.flatnonzero(border)
-        ends = np.r_[edges[1:], len(data)]
-        real = inside[edges]
-        starts, ends = edges[real], ends[real]
-        at = self._indices(data, starts, ends)
+        words: list[bytes] = []
+        upto = [0]
+        for t in texts:
+            raw = t.encode("utf-8")
+            words += PART.findall(raw.lower()) if marks else raw.split()
+            upto.append(len(words))
+        self._learn(words)
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
         n = self.first[at + 1] - self.first[at]
         before = np.r_[0, np.cumsum(n)]
         flat = self.ids[np.repeat(self.first[at] - before[:-1], n) + np.arange(before[-1])]
-        text_ends = np.cumsum([len(t) + 1 for t in encoded])
-        bounds = np.r_[0, before[np.searchsorted(starts, text_ends)]].tolist()
+        bounds = before[upto].tolist()
         return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         special = [i for i, t in enumerate(texts) if "<|" in t]
-        out = self._encode(texts, True) if len(special) < len(texts) else [None] * len(texts)
-        if special:
-            for i, got in zip(special, self._encode([texts[i] for i in special], False), strict=True):
+        plain = [i for i, t in enumerate(texts) if "<|" not in t]
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        for at, marks in ((plain, True), (special, False)):
+            for i, got in zip(at, self._encode([texts[i] for i in at], marks) if at else [], strict=True):
                 out[i] = got
         return out
 
@@ -191,7 +183,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each task tokenises its documents and fills its own bins, so nothing is shuffled and no key can be hot. It holds the pieces of its open bins, under a
-    capacity of ids in each of at most 70 classes. Sequences are filled to the capacity, but for at most 12 per task, which are powers of two long.
+    capacity of ids in each of at most 70 classes. Bins of whole sequences, halves, quarters ... are filled to the capacity; a bin of class k holds k
+    rests, so of rests just over capacity / (k + 1) some is padding (81 of 50 tokens fill 4050 of 4096). At most 12 sequences per task, the last ones, are
+    powers of two long. Ties can't arise: pieces are laid in the order in which they are read.
     tokenizer: path of the tokenizers file, readable on every worker.
 
     A null text is empty: the document is its end id alone. Null ids and repeated rows are packed like any row. Empty table: no rows.

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import unicodedata
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import Table, groups_of, span_hashes
+from .bytewords import groups_of
 from .common import text_or_empty
 
 END = "<|endoftext|>"
@@ -19,8 +19,6 @@ END = "<|endoftext|>"
 LETTER, STMD, R, V, L, E, NUMBER, OTHER, APOSTROPHE, BLANK, SPACE, STOP = range(12)
 #: States: what the transducer has read since the last certain token boundary.
 S0, IN_LETTERS, IN_NUMBERS, IN_OTHER, BLANK1, SPACE1, BLANKS, SPACES, QUOTE, QUOTE_R, QUOTE_V, QUOTE_L, CLOSED = range(13)
-#: The characters with Unicode's property White_Space.
-WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: A transition's output: a token begins at this character, at the one before it, or both.
 HERE, BEFORE = 1, 2
 CHUNK = 256
@@ -63,18 +61,33 @@ def _step(state: int, kind: int) -> tuple[int, int]:
     return (QUOTE if kind == APOSTROPHE else opens[kind]), HERE
 
 
-@lru_cache(1)
-def compiled() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class of every code point, next state by class and state, output by class and state)."""
+@lru_cache(4)
+def classes(path: str) -> np.ndarray:
+    """Class of every code point as the library's own pre-tokenizer has it: joined to a mark, a letter or a digit, a character of that class makes one
+    token with it. Blocks of one class are settled at once, others are halved; what joins none of the three is white space."""
+    from tokenizers import Tokenizer
+
+    split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
     kinds = np.full(0x110000, OTHER, np.uint8)
-    for c in range(0x110000):
-        major = unicodedata.category(chr(c))[0]
-        if major in "LN":
-            kinds[c] = LETTER if major == "L" else NUMBER
-    for letters, kind in (("stmd", STMD), ("r", R), ("v", V), ("l", L), ("e", E), ("'", APOSTROPHE), (WHITE, SPACE), (" ", BLANK)):
+    blocks = [(a, a + 256) for a in (*range(0, 0xD800, 256), *range(0xE000, 0x110000, 256))]  # surrogates are in no text
+    while blocks:
+        a, b = blocks.pop()
+        own = "".join(map(chr, range(a, b)))
+        kind = next((k for x, k in (("!", OTHER), ("a", LETTER), ("1", NUMBER)) if len(split(x + own)) == 1), SPACE if b - a == 1 else None)
+        if kind is None:
+            blocks += [(a, (a + b) // 2), ((a + b) // 2, b)]
+        else:
+            kinds[a:b] = kind
+    for letters, kind in (("stmd", STMD), ("r", R), ("v", V), ("l", L), ("e", E), ("'", APOSTROPHE), (" ", BLANK)):
         kinds[[ord(x) for x in letters]] = kind
+    return kinds
+
+
+@lru_cache(1)
+def compiled() -> tuple[np.ndarray, np.ndarray]:
+    """(next state by class and state, output by class and state)."""
     steps = [[_step(s, k) for s in range(13)] for k in range(12)]
-    return kinds, np.array([[x[0] for x in row] for row in steps], np.uint8), np.array([[x[1] for x in row] for row in steps], np.uint8)
+    return np.array([[x[0] for x in row] for row in steps], np.uint8), np.array([[x[1] for x in row] for row in steps], np.uint8)
 
 
 def boundaries(kinds: np.ndarray) -> np.ndarray:
@@ -84,7 +97,7 @@ def boundaries(kinds: np.ndarray) -> np.ndarray:
     from states to states; the maps compose in a prefix scan, whose values at the chunks' borders are their first states; a second reading from
     those states writes the outputs.
     """
-    _, step, out = compiled()
+    step, out = compiled()
     rows = -(-len(kinds) // CHUNK)
     padded = np.full(rows * CHUNK, STOP, np.uint8)
     padded[: len(kinds)] = kinds
@@ -113,33 +126,31 @@ def boundaries(kinds: np.ndarray) -> np.ndarray:
 
 class Counter:
     """Token counts of whole texts. Pre-tokens are edges of the transducer, annotated with the number of tokens they emit; an edge is
-    compiled (by the library, on that pre-token alone) when it is first met, and kept by the 64-bit hash of its bytes."""
+    compiled (by the library, on that pre-token alone) when it is first met, and kept by its bytes."""
 
-    #: Edges that are kept at once; the table is emptied beyond that.
-    MOST_EDGES = 4_000_000
+    #: Edges that are kept at once, and their bytes; the table is emptied beyond that.
+    MOST_EDGES, MOST_BYTES = 300_000, 16 << 20
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kinds: np.ndarray | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.table = Tokenizer.from_file(path), Table(np.int32)
-
-    def _emitted(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        keys = span_hashes(data, starts, ends)
-        slot, hit = self.table.find(keys)
-        if not hit.all():
-            new, first = np.unique(keys[~hit], return_index=True)
-            at = np.flatnonzero(~hit)[first]
-            if self.table.n + len(new) > self.MOST_EDGES:
-                self.table = Table(np.int32)
-                new, at = np.unique(keys, return_index=True)
-            raw = data.tobytes()
-            words = [raw[s:e].decode("utf-8") for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            for i in range(0, len(words), 4096):
-                got = self.tokenizer.encode_batch_fast(words[i : i + 4096], add_special_tokens=False)
-                self.table.add(new[i : i + 4096], np.array([len(x.ids) for x in got], np.int32))
-            slot, _ = self.table.find(keys)
-        return self.table.values[slot]
+        self.tokenizer, self.kinds = Tokenizer.from_file(path), classes(path) if kinds is None else kinds
+        self.emits: dict[bytes, int] = {}
+        self.bytes = 0
+
+    def _emitted(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        edges = [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+        new = list(set(edges).difference(self.emits))
+        if new and (len(self.emits) + len(new) > self.MOST_EDGES or self.bytes + sum(map(len, new)) > self.MOST_BYTES):
+            self.emits, self.bytes = {}, 0
+            new = list(set(edges))
+        for i in range(0, len(new), 4096):
+            own = new[i : i + 4096]
+            got = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in own], add_special_tokens=False)
+            self.emits.update(zip(own, (len(x.ids) for x in got), strict=True))
+            self.bytes += sum(map(len, own))
+        return np.fromiter(map(self.emits.__getitem__, edges), np.int64, len(edges))
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text. The special string is one token, and texts are read apart on either side of it."""
@@ -155,12 +166,11 @@ class Counter:
                 pieces.append(t)
                 owner.append(i)
         owner = np.array(owner, np.int64)
-        kinds_of = compiled()[0]
-        for a, b in groups_of(pieces, 1 << 20):
+        for a, b in groups_of(pieces, 1 << 19):
             raw = "\0".join(pieces[a:b]).encode("utf-8") + b"\0"
             data = np.frombuffer(raw, np.uint8)
             chars = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32)
-            kinds = kinds_of[chars]
+            kinds = self.kinds[chars]
             ends_of = np.cumsum([len(p) + 1 for p in pieces[a:b]]) - 1
             kinds[ends_of] = STOP
             begins = boundaries(kinds)
@@ -172,7 +182,7 @@ class Counter:
             stop = kinds[at_char] == STOP
             n = np.zeros(len(at), np.int64)
             starts, ends = at, np.r_[at[1:], len(data)]
-            n[~stop] = self._emitted(data, starts[~stop], ends[~stop])
+            n[~stop] = self._emitted(raw, starts[~stop], ends[~stop])
             text = np.searchsorted(ends_of, at_char)
             np.add.at(total, owner[a:b], np.bincount(text, n, b - a).astype(np.int64))
         return total
@@ -188,10 +198,12 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
     table of edges and its longest text. A null text is empty and has no tokens. Repeated rows and null ids keep their rows.
     """
 
+    packed = zlib.compress(classes(tokenizer).tobytes())  # read off the library once, on the driver
+
     @F.pandas_udf("long")
     def run(texts: pd.Series) -> pd.Series:
         if tokenizer not in _counters:
-            _counters[tokenizer] = Counter(tokenizer)
+            _counters[tokenizer] = Counter(tokenizer, np.frombuffer(zlib.decompress(packed), np.uint8))
         return pd.Series(_counters[tokenizer].counts(texts.tolist()))
 
     text = text_or_empty()
