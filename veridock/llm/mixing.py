@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, WORD, cut, global_rank, join_checked, text_or_empty
+from .common import BROADCAST_ROWS, WORD, cut, global_rank, join_checked, text_or_empty, whole_row
 
 MAX_EPOCHS = 3
 
@@ -33,24 +33,29 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epoch
     return table.withColumn("target", F.least("cap", F.col("weight") * time)), time
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 42, epochs: int = MAX_EPOCHS, size=None) -> DataFrame:
-    """Copies of documents in the order of their virtual finish time: doc_id, source, source_size, target, size,
-    ordinal (place in its shuffled source), epoch, finish, taken.
+#: A document in service when the budget is spent is queued in so many fragments, so that a source ends within one of them of its share.
+FRAGMENTS = 256
 
-    A source's documents are shuffled by a hash of their ids; a copy starts after all that its source has queued
-    before it and finishes at (words queued so far) / weight. All copies are range-sorted by finish time, and the
-    budget cuts them off at one virtual time: a copy that finishes before it is taken whole, one that only starts
-    before it is cut there (taken < size). Every document has at least its row of epoch 0, with taken = 0 if the
-    mix leaves it out.
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 42, epochs: int = MAX_EPOCHS, size=None, text: str = "text") -> DataFrame:
+    """Copies of documents with their virtual finish times: doc_id, hash (of the text), source, source_size, target, size, ordinal (place in its
+    shuffled source), epoch, finish, taken.
+
+    A source's documents are shuffled by a hash of their ids; a copy finishes when all that its source has queued up to it is served, at
+    (words queued) / weight. All copies are range-sorted by finish time, ties by source and place, and the queue is cut off where the words served
+    reach the budget: what is before is taken, what comes after is not, and what the cut falls into is taken in part. source_targets gives the time of the cut beforehand to within a document
+    of each source; a copy that is in service then is queued in FRAGMENTS parts, each with its own finish time.
+    Every document has at least its row of epoch 0, with taken = 0 if the mix leaves it out.
 
     Running sums take two levels, buckets of about max(256, sqrt(rows of the source)) rows and a prefix over buckets, so a source
-    that holds a third of all rows is spread over all tasks; only thin rows, no texts, are moved.
+    that holds a third of all rows is spread over all tasks; only thin rows, no texts, are moved. In the global order, one sum per
+    partition comes to the driver, and only the partition that the cut falls into is summed up row by row.
 
     A null text has size 0; a null source is a source of its own, ordered last. Repeated rows count each. Rows tied in
     id and hash are told apart by size, and are interchangeable beyond that. Empty table: empty result.
     """
-    size = F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long") if size is None else size
-    sized = cut(docs.select("doc_id", "source", size.alias("size")))
+    size = F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long") if size is None else size
+    sized = cut(docs.select("doc_id", "source", size.alias("size"), F.xxhash64(text_or_empty(text)).alias("hash")))
     table, time = source_targets(sized, weights, epochs)
     table = cut(table.withColumn("buckets", F.ceil(F.col("source_rows") / F.greatest(F.lit(256.0), F.sqrt("source_rows")))))
     n = table.count()
@@ -60,16 +65,30 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 42, e
     ahead = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = known.groupBy("sid", "bucket").agg(F.sum("size").alias("s"), F.count("*").alias("c"))
     base = sums.select("sid", "bucket", F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("base_size"), F.coalesce(F.sum("c").over(ahead), F.lit(0)).alias("base_rows"))
-    inside = Window.partitionBy("sid", "bucket").orderBy("draw", F.col("doc_id").asc_nulls_last(), "size")
+    inside = Window.partitionBy("sid", "bucket").orderBy("draw", F.col("doc_id").asc_nulls_last(), "size", "hash")
     placed = known.withColumns({"own_rows": F.row_number().over(inside), "own_size": F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))}).join(base, ["sid", "bucket"])
     placed = placed.withColumns({"ordinal": F.col("base_rows") + F.col("own_rows"), "before": F.col("base_size") + F.col("own_size") - F.col("size")})
     copies = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     start = F.col("epoch") * F.col("source_size") + F.col("before")
     copies = copies.withColumns({"start": start, "finish": (start + F.col("size")) / F.col("weight")})
-    line = F.round(F.col("target")).cast("long")
-    copies = copies.withColumn("taken", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), line - F.col("start"))))
-    copies = copies.where("taken > 0 OR epoch = 0")
-    return copies.select("doc_id", "source", "source_size", "target", "size", "ordinal", "epoch", "finish", "taken").repartitionByRange("finish", "doc_id", "ordinal").sortWithinPartitions("finish", "doc_id", "ordinal")
+    in_service = (F.col("start") <= F.lit(time) * F.col("weight")) & (F.col("finish") >= time) & (F.col("size") > 1)
+    step = F.when(in_service, F.greatest(F.lit(1), F.ceil(F.col("size") / FRAGMENTS))).otherwise(F.greatest(F.lit(1), F.col("size"))).cast("long")
+    queue = copies.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.col("size") - 1), step)))
+    queue = queue.withColumn("words", F.least(step, F.col("size") - F.col("at"))).withColumn("done", (F.col("start") + F.col("at") + F.col("words")) / F.col("weight"))
+    order = [F.col("done"), F.col("sid"), F.col("epoch"), F.col("ordinal"), F.col("at")]
+    queue = queue.select("sid", "doc_id", "hash", "source", "source_size", "target", "size", "ordinal", "epoch", "finish", "at", "words", "done")
+    queue = cut(queue.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    served = {r["part"]: r["w"] for r in queue.groupBy("part").agg(F.sum("words").alias("w")).collect()}
+    budget, at = sum(r["s"] or 0 for r in table.agg(F.sum("source_size").alias("s")).collect()), -1
+    for at in sorted(served):  # the partition that the cut falls into; what is left is spent there
+        if budget <= served[at]:
+            break
+        budget -= served[at]
+    sofar = F.sum("words").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
+    within = queue.where(F.col("part") == at).withColumn("taken", F.greatest(F.lit(0), F.least("words", F.lit(budget) - sofar)).cast("long"))
+    outside = queue.where(F.col("part") != at).withColumn("taken", F.when(F.col("part") < at, F.col("words")).otherwise(0).cast("long"))
+    key = ["doc_id", "hash", "source", "source_size", "target", "size", "sid", "ordinal", "epoch", "finish"]
+    return outside.unionByName(within).where("taken > 0 OR epoch = 0").groupBy(*key).agg(F.sum("taken").alias("taken")).drop("sid")
 
 
 def mix_totals(docs: DataFrame, **options) -> DataFrame:
@@ -79,14 +98,17 @@ def mix_totals(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
-    """docs as the mix takes them: whole documents, each as often as it is taken, all columns kept.
+    """docs as the mix takes them: whole documents, each as often as it is taken, all columns kept, range-sorted by virtual finish time (copies that
+    finish together by id, then text).
 
-    The copy that the cut falls into stays if at least half of it is before the cut, so a source's words differ from
-    its target by at most half of one document. Documents without words stay once, as they take nothing. Rows that
-    share a doc_id are repeated together, as often as the first of them.
+    The copy that the cut falls into stays if at least half of it is taken, so a source's words differ from
+    its target by about half of one document at most. Documents without words stay once, as they take nothing. Rows that share both id and
+    text are repeated together, as often as the most taken of them. Names of other columns are free.
     """
-    times = mix(docs, **options).groupBy("doc_id", "source", "ordinal").agg(F.sum(F.when((F.col("size") == 0) | (2 * F.col("taken") >= F.col("size")), 1).otherwise(0)).alias("n"))
-    times = cut(times.groupBy(F.col("doc_id").alias("_id")).agg(F.max("n").cast("int").alias("_n")).where("_n <> 1"))
-    out = join_checked(docs, times, F.col("doc_id").eqNullSafe(F.col("_id")), "left", times.count(), 5 * broadcast_rows)
-    copies = F.coalesce("_n", F.lit(1))
-    return out.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(*[docs[c] for c in docs.columns])
+    kept = mix(docs, **options).where((F.col("size") == 0) & (F.col("epoch") == 0) | (F.col("size") > 0) & (2 * F.col("taken") >= F.col("size")))
+    times = kept.groupBy("doc_id", "hash", "ordinal").agg(F.sort_array(F.collect_list("finish")).alias("at"))  # at most `epochs` of a row
+    times = cut(times.groupBy(F.col("doc_id").alias("id"), F.col("hash").alias("key")).agg(F.max_by("at", F.struct(F.size("at"), F.col("ordinal"))).alias("at")))
+    own = docs.select(whole_row(docs), F.xxhash64(text_or_empty()).alias("h"))
+    out = join_checked(own, times, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("key")), "inner", times.count(), 5 * broadcast_rows)
+    order = ["at", "id", "key"]
+    return out.select("row", "id", "key", F.explode("at").alias("at")).repartitionByRange(*order).sortWithinPartitions(*order).select("row.*")
