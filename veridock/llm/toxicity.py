@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import Table, groups_of, mixed, span_hashes
-from .common import cut, text_or_empty
+from .common import cut, text_or_empty, whole_row
 
 #: Absolute discounts, by count n: max(SMALL, SPREAD * sqrt(n)), so that counts which differ by chance alone are left to the shared backoff.
 SMALL_BIGRAM, SMALL_WORD, SPREAD = 0.75, 3.0, 2.0
@@ -59,32 +59,37 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"ctx": ctx[first].view(np.int64), "word": word[first].view(np.int64), "key": key[first].view(np.int64), "n": n})
 
 
-def _corpus(names: np.ndarray):
-    """Counts of the words `names` (sorted hashes) over all texts of a task; a row without word has the number of all its words."""
+#: Distinct words that a task counts before it passes them on.
+WORDS_AT_ONCE = 1 << 18
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, n, total = Table(np.int32), np.zeros(len(names), np.int64), 0
-        table.add(names, np.arange(len(names), dtype=np.int32))
-        for batch in batches:
-            texts = batch["text"].tolist()
-            for a, b in groups_of(texts):
-                words, _ = words_of(texts[a:b])
-                slot, known = table.find(words)
-                n += np.bincount(table.values[slot[known]], minlength=len(names))
-                total += len(words)
-        met = np.flatnonzero(n)
-        yield pd.DataFrame({"word": pd.array(names[met].view(np.int64), "Int64"), "n": n[met]})
-        yield pd.DataFrame({"word": pd.array([None], "Int64"), "n": [total]})
 
-    return run
+def _corpus(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(word, n) of the words of a task, summed up over what it has gathered."""
+    words, n, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+
+    def summed() -> None:
+        nonlocal words, n, waiting
+        words, at = np.unique(np.concatenate([words, *(w for w, _ in waiting)]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([n, *(c for _, c in waiting)]), len(words)).astype(np.int64)
+        waiting = []
+
+    for batch in batches:
+        texts = batch["text"].tolist()
+        for a, b in groups_of(texts):
+            waiting.append(np.unique(words_of(texts[a:b])[0], return_counts=True))
+            if sum(len(w) for w, _ in waiting) > WORDS_AT_ONCE:
+                summed()
+                if len(words) > WORDS_AT_ONCE:
+                    yield pd.DataFrame({"word": words.view(np.int64), "n": n})
+                    words, n = words[:0], n[:0]
+    if waiting:
+        summed()
+    yield pd.DataFrame({"word": words.view(np.int64), "n": n})
 
 
-def corpus_counts(docs: DataFrame, names: np.ndarray) -> tuple[np.ndarray, int]:
-    """(occurrences of each of the words `names` in all of docs, number of all words). Each task sends at most one row per name."""
-    found = docs.select(text_or_empty().alias("text")).mapInPandas(_corpus(names), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
-    own, n = found[found["word"].notna()], np.zeros(len(names), np.int64)
-    n[np.searchsorted(names, own["word"].to_numpy(dtype=np.int64).view(np.uint64))] = own["n"].to_numpy(dtype=np.int64)
-    return n, int(found.loc[found["word"].isna(), "n"].sum())
+def corpus_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): how often each word occurs in all of docs, labelled or not; written to the shared folder."""
+    return cut(docs.select(text_or_empty().alias("text")).mapInPandas(_corpus, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
 
 
 class Model(NamedTuple):
@@ -147,20 +152,20 @@ def _left(n: np.ndarray, least: float) -> np.ndarray:
 NOTHING = 4
 
 
-def fit(bigrams: pd.DataFrame, words: pd.DataFrame, corpus: Callable[[np.ndarray], tuple[np.ndarray, int]], kinds: int) -> Model:
+def fit(bigrams: pd.DataFrame, words: pd.DataFrame, total_words: int, kinds: int) -> Model:
     """Model without calibration.
 
     bigrams: ctx, word, key, toxic, ordinary (counts by class), ctx_toxic, ctx_ordinary (words after that context); only those with a count over NOTHING in a class.
-    words: word, toxic, ordinary (contexts that a word follows, by class); only those with more than NOTHING in a class, or in a bigram above. corpus: gives the
-    shared backoff's counts (see corpus_counts), which come from all documents. kinds: number of distinct words. All other bigrams are backed off from and all other words are shared, so their differences are zero.
+    words: word, toxic, ordinary (contexts that a word follows, by class), n (its occurrences in all documents); only those with more than NOTHING in a class,
+    or in a bigram above. total_words, kinds: words and distinct words of all documents, over which the shared backoff is spread. All other bigrams are backed
+    off from and all other words are shared, so their differences are zero.
     """
     names, order = np.unique(words["word"].to_numpy(dtype=np.int64).view(np.uint64), return_index=True)
     ctx, word, key = (bigrams[c].to_numpy(dtype=np.int64).view(np.uint64) for c in ("ctx", "word", "key"))
     if not len(names):
         return Model(Table(np.float32), Table(np.dtype((np.float32, 2))), 0.0, np.zeros(4))
     follows = [words[c].to_numpy(dtype=np.float64)[order] for c in ("toxic", "ordinary")]
-    everywhere, total_words = corpus(names)
-    shared = everywhere / max(1, total_words) * (1 - UNIFORM) + UNIFORM / (kinds + 1)
+    shared = words["n"].to_numpy(dtype=np.float64)[order] / max(1, total_words) * (1 - UNIFORM) + UNIFORM / (kinds + 1)
     contexts, first, number = np.unique(ctx, return_index=True, return_inverse=True)
     word_of = np.searchsorted(names, word)
     high, low, back = [], [], []
@@ -192,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, calibrat
     """Learns from labelled rows outside fold 0: counts from folds 1-3, calibration from fold 4.
 
     The samples are the rows with the smallest hashes of their ids, at most fit_rows of each class and calibration_rows
-    more; whole texts are used. The shared backoff counts the words of the model in all of docs, labelled or not. Counting is
+    more; whole texts are used. The shared backoff counts every word of all of docs, labelled or not, in a table that grows with them. Counting is
     distributed; what reaches the driver and what is broadcast are bounded by those samples.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("fold", fold()).where("fold <> 0")
@@ -215,7 +220,10 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, calibrat
     follows = cut(counted.groupBy("word").agg(F.count(F.when(F.col("toxic") > 0, 1)).alias("toxic"), F.count(F.when(F.col("ordinary") > 0, 1)).alias("ordinary")))
     met = strong.select("word").distinct().withColumn("met", F.lit(True))
     words = follows.join(met, "word", "left").where((F.col("toxic") > NOTHING) | (F.col("ordinary") > NOTHING) | F.col("met")).drop("met")
-    model = fit(strong.join(totals, "ctx").toPandas(), words.toPandas(), lambda names: corpus_counts(docs, names), follows.count())
+    everywhere = corpus_counts(docs)
+    whole = everywhere.agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).first()
+    words = everywhere.join(cut(words), "word").select("word", "toxic", "ordinary", "n")
+    model = fit(strong.join(totals, "ctx").toPandas(), words.toPandas(), whole["total"] or 0, whole["kinds"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     seen = _features(sample.where("check").select("toxic", "text"), shared).toPandas()
     return model._replace(weights=calibrate(seen[["mean", "strong", "root"]].to_numpy(dtype=np.float64), seen["toxic"].to_numpy(dtype=np.float64)))
@@ -252,6 +260,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
-    """docs without the documents whose score is 0.5 or more; all columns stay."""
-    kept = with_score(docs, train(docs, labels, **bounds), "_score").where("_score < 0.5")
-    return kept.drop("_score")
+    """docs without the documents whose score is 0.5 or more; all columns stay, whatever their names."""
+    scored = with_score(docs.select(whole_row(docs), F.col("text")), train(docs, labels, **bounds))
+    return scored.where("score < 0.5").select("row.*")
