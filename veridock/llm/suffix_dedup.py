@@ -1,4 +1,8 @@
-"""Removal of repeated passages by a sparse suffix array in range-partitioned buckets."""
+"""Removal of repeated passages by a sparse suffix array in range-partitioned buckets.
+
+A hash only ever says where to look: which suffixes are candidates, where they are dealt to. What is removed is settled by the bytes themselves, in the
+sorted suffixes of a bucket, or, for the windows of very common leads, by 128-bit BLAKE2b digests.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import BASE, INVERSE, groups_of, mixed, powers
+from .bytewords import BASE, groups_of, mixed, powers
 from .common import cut, release, text_or_empty
 
 #: Length of a repeat; bytes of a suffix that count as its leading tokens; what may lie to the left of an anchor inside a repeat.
@@ -21,27 +25,32 @@ NO_ID = np.iinfo(np.int64).max
 
 #: Bytes of packed records that a task gathers before it passes them on.
 FLUSH = 16 << 20
-#: Leads met more often than this may be hot; at most MOST_HOT (the most frequent) are known to every task.
+#: Leads met more often than this may be hot. Every task knows the MOST_HOT most frequent of them, or as many as there are parts if that is more, so
+#: a lead that is not known has no more suffixes than an average part.
 HOT_FLOOR, MOST_HOT = 4_000, 500_000
-#: Leads sampled for the splitters, per bucket and in all.
+#: Leads sampled for the splitters, per bucket and in all. Beyond that, a range between two splitters is dealt out further by a hash of the lead.
 SAMPLE_PER_BUCKET, MOST_SAMPLED = 32, 200_000
+#: Bytes of text per part, and per task of a shuffle.
+PART_BYTES, TASK_BYTES = 1 << 24, 1 << 25
 #: A packed table of per-document positions is broadcast only up to so many bytes and rows; beyond, texts are shuffled.
 BROADCAST_BYTES, BROADCAST_DOCS = 1 << 20, 20_000
 
 ANCHOR = np.dtype([("key", "u8"), ("doc", "i8"), ("pos", "u4"), ("n", "u4")])
 SUFFIX = np.dtype([("doc", "i8"), ("pos", "u4"), ("left", "u1"), ("right", "u1"), ("bytes", "u1", (CONTEXT,))])
-WINDOW = np.dtype([("key", "u8"), ("lead", "u8"), ("doc", "i8"), ("start", "u4")])
+WINDOW = np.dtype([("key", "u8"), ("more", "u8"), ("doc", "i8"), ("start", "u4")])
 PLACE = np.dtype([("doc", "i8"), ("start", "u4"), ("end", "u4")])
 PARTS = "kind int, part int, blob binary"
 
 
-def kgram_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """Hash of data[i:i + k] for every i."""
+def kgram_hashes(data: np.ndarray, k: int = LEAD) -> np.ndarray:
+    """Hash of data[i:i + k] for every i; k is a power of two. Equal strings have equal hashes, the reverse is not relied upon."""
     if len(data) < k:
         return np.zeros(0, np.uint64)
-    running = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=running[1:])
-    return mixed((running[k:] - running[:-k]) * powers(INVERSE, len(data) + 1)[: len(data) - k + 1])
+    h, base, width = data.astype(np.uint64) + np.uint64(1), BASE, 1
+    while width < k:
+        h = h[:-width] * np.uint64(base) + h[width:]
+        base, width = base * base & (1 << 64) - 1, 2 * width
+    return mixed(h)
 
 
 def anchors(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -116,8 +125,8 @@ def doc_part(doc: np.ndarray, parts: int) -> np.ndarray:
     return part_of(np.ascontiguousarray(doc).view(np.uint64), parts)
 
 
-def by_part(rows: DataFrame, work: Callable[[int, list[bytes]], Iterator[pd.DataFrame]], schema: str, done: Callable[[], Iterator[pd.DataFrame]] | None = None) -> DataFrame:
-    """Brings the blobs of each (kind, part) together and calls work on them, one part at a time."""
+def by_part(rows: DataFrame, tasks: int, work: Callable[[int, list[bytes]], Iterator[pd.DataFrame]], schema: str, done: Callable[[], Iterator[pd.DataFrame]] | None = None) -> DataFrame:
+    """Brings the blobs of each (kind, part) together in so many tasks and calls work on them, one part at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, blobs = None, []
@@ -133,7 +142,7 @@ def by_part(rows: DataFrame, work: Callable[[int, list[bytes]], Iterator[pd.Data
         if done:
             yield from done()
 
-    return rows.repartition("kind", "part").sortWithinPartitions("kind", "part").mapInPandas(run, schema)
+    return rows.repartition(tasks, "kind", "part").sortWithinPartitions("kind", "part").mapInPandas(run, schema)
 
 
 def joined(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
@@ -239,12 +248,37 @@ def _points(kind_: int, blobs: list[bytes]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"doc": rec["doc"][cuts[:-1]], "places": [starts[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
 
 
-def window_keys(ctx: np.ndarray) -> np.ndarray:
-    """Column o: hash of the 100 bytes that begin o bytes to the left of the anchor."""
-    running = np.zeros((len(ctx), CONTEXT + 1), np.uint64)
-    np.cumsum((ctx.astype(np.uint64) + np.uint64(1)) * powers(BASE, CONTEXT), axis=1, out=running[:, 1:])
-    begin = np.arange(LEFT, -1, -1)
-    return mixed((running[:, begin + SPAN] - running[:, begin]) * powers(INVERSE, CONTEXT + 1)[begin])
+def shared_prefixes(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, bytes that each string of that order shares with the one before it) of rows of bytes of one width.
+
+    Multikey quicksort with eight bytes as a character, on all groups at once: the strings are sorted by their first character, and only those that are
+    still tied go on to the next.
+    """
+    n, width = strings.shape
+    padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    padded[:, :width] = strings
+    chars = padded.view(">u8").astype(np.uint64)
+    order = np.argsort(chars[:, 0], kind="stable")
+    head = np.r_[True, chars[order[1:], 0] != chars[order[:-1], 0]] if n else np.zeros(0, bool)
+    for j in range(1, chars.shape[1]):
+        tied = ~head
+        tied[:-1] |= ~head[1:]
+        at = np.flatnonzero(tied)
+        if not len(at):
+            break
+        group, own = np.cumsum(head)[at], order[at]
+        order[at] = own = own[np.lexsort((chars[own, j], group))]
+        head[at[1:]] |= (group[1:] != group[:-1]) | (chars[own[1:], j] != chars[own[:-1], j])
+    shared = np.zeros(n, np.int64)
+    differs = strings[order[1:]] != strings[order[:-1]]
+    shared[1:] = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
+    return order, shared
+
+
+def window_digests(ctx: np.ndarray, row: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """Two 64-bit halves of the BLAKE2b digest of the 100 bytes that begin `shift` bytes to the left of the anchor of each row."""
+    raw, begin = np.ascontiguousarray(ctx).tobytes(), row * CONTEXT + LEFT - shift
+    return np.frombuffer(b"".join([hashlib.blake2b(raw[a : a + SPAN], digest_size=16).digest() for a in begin.tolist()]), np.uint64).reshape(-1, 2)
 
 
 def lead_hashes(ctx: np.ndarray) -> np.ndarray:
@@ -296,30 +330,29 @@ def _suffixes(parts: int, splitters, hot):
         for a in range(0, len(rec), 1 << 15):
             own = (rec["bytes"][a : a + (1 << 15)].astype(np.uint64) + np.uint64(1)) * powers(BASE, CONTEXT)
             whole[a : a + (1 << 15)] = mixed(own.sum(axis=1, dtype=np.uint64))
-        whole = mixed(whole + rec["left"].astype(np.uint64) * np.uint64(256) + rec["right"])
-        _, one = np.unique(whole, return_index=True)  # the first, as the sort is by document and position
-        later = np.ones(len(rec), bool)
-        later[one] = False
+        _, one, number = np.unique(whole, return_index=True, return_inverse=True)  # the first, as the sort is by document and position
+        first = one[number]
+        equal = np.ones(len(rec), bool)  # to the first of that hash, byte for byte
+        for a in range(0, len(rec), 1 << 15):
+            x, y = rec[a : a + (1 << 15)], rec[first[a : a + (1 << 15)]]
+            equal[a : a + (1 << 15)] = (x["bytes"] == y["bytes"]).all(axis=1) & (x["left"] == y["left"]) & (x["right"] == y["right"])
         # at the same place of rows that share an id, neither is earlier
-        firsts = np.zeros(len(rec), np.int64)
-        _, number = np.unique(whole, return_inverse=True)
-        firsts = one[number]
-        later &= (rec["doc"] != rec["doc"][firsts]) | (rec["pos"] != rec["pos"][firsts])
-        done = covered(rec[later])
+        done = covered(rec[equal & ((rec["doc"] != rec["doc"][first]) | (rec["pos"] != rec["pos"][first]))])
         yield from out.put(COVERED, doc_part(done["doc"], parts), done)
-        rec = rec[one]
+        rec = rec[~equal | (first == np.arange(len(rec)))]
         lead = lead_hashes(rec["bytes"])
         warm = np.isin(lead, hot.value)
         cool = rec[~warm]
-        yield from out.put(SUFFIXES, np.searchsorted(splitters.value, lead_words(cool["bytes"]), side="right"), cool)
+        within = np.searchsorted(splitters.value, lead_words(cool["bytes"]), side="right")
+        deals = max(1, parts // (len(splitters.value) + 1))
+        yield from out.put(SUFFIXES, within * deals + part_of(lead[~warm], deals), cool)
         for a in range(0, int(warm.sum()), 1 << 13):
-            part, own = rec[warm][a : a + (1 << 13)], lead[warm][a : a + (1 << 13)]
+            part = rec[warm][a : a + (1 << 13)]
             shift = np.arange(LEFT + 1)
             row, o = np.nonzero((shift <= part["left"][:, None]) & (SPAN - shift <= part["right"][:, None]))
             win = np.zeros(len(row), WINDOW)
-            win["key"], win["lead"] = window_keys(part["bytes"])[row, o], own[row]
+            win["key"], win["more"] = window_digests(part["bytes"], row, o).T
             win["doc"], win["start"] = part["doc"][row], part["pos"][row] - o
-            win = win[np.lexsort((win["start"], win["doc"]))]
             again, once = _later(win)
             done = np.zeros(len(again), PLACE)
             done["doc"], done["start"], done["end"] = again["doc"], again["start"], again["start"].astype(np.int64) + SPAN
@@ -341,28 +374,40 @@ def _suffixes(parts: int, splitters, hot):
 
 
 def _later(win: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(windows with an earlier equal, first ones) of windows in order of document and start."""
-    _, one, number = np.unique(win["key"] ^ mixed(win["lead"]), return_index=True, return_inverse=True)
-    first = one[number]
-    return win[(win["doc"] != win["doc"][first]) | (win["start"] != win["start"][first])], win[one]
+    """(windows with an earlier equal, first ones); equal are windows of equal digests."""
+    win = win[np.lexsort((win["start"], win["doc"], win["more"], win["key"]))]
+    head = np.ones(len(win), bool)
+    head[1:] = (win["key"][1:] != win["key"][:-1]) | (win["more"][1:] != win["more"][:-1])
+    first = np.flatnonzero(head)[np.cumsum(head) - 1]
+    return win[(win["doc"] != win["doc"][first]) | (win["start"] != win["start"][first])], win[head]
 
 
 def repeats(rec: np.ndarray) -> np.ndarray:
     """Covered places of the suffixes of a bucket: for each, from the leftmost to the rightmost window that an earlier suffix of the bucket has too.
 
-    The bucket is sorted by document and position; for every shift of the window against the anchor, equal windows are brought together
-    by a sort of their hashes, and all but the first are repeats. A window's anchor is inside it, so the windows of one anchor overlap.
+    The suffixes are sorted from the anchor to the right and, by what precedes them, from the anchor to the left, with the bytes that neighbours share. A window that
+    begins o bytes to the left of the anchor is the same in two records if they share o bytes to the left and 100 - o to the right, that is if no smaller
+    number stands between them in either order. A window's anchor is inside it, so the windows of one anchor overlap.
     """
     rec = rec[np.lexsort((rec["pos"], rec["doc"]))]
+    number, least = [], []
+    for side in (rec["bytes"][:, LEFT:], rec["bytes"][:, LEFT - 1 :: -1]):
+        order, shared = shared_prefixes(side)
+        number.append((order, shared))
+        most = np.zeros(len(rec), np.int64)
+        most[order] = np.maximum(shared, np.r_[shared[1:], 0])
+        least.append(most)
+    might = least[0] + least[1] >= SPAN  # with its best neighbour on either side
     low, high = np.full(len(rec), LEFT + 1), np.full(len(rec), -1)
-    lead = mixed(lead_hashes(rec["bytes"]))
-    keys = window_keys(rec["bytes"])
+    group = [np.zeros(len(rec), np.int64), np.zeros(len(rec), np.int64)]
     for o in range(LEFT + 1):
-        ok = np.flatnonzero((rec["left"] >= o) & (rec["right"] >= SPAN - o))
+        ok = np.flatnonzero(might & (rec["left"] >= o) & (rec["right"] >= SPAN - o))
         if len(ok) < 2:
             continue
-        _, one, number = np.unique(keys[ok, o] ^ lead[ok], return_index=True, return_inverse=True)
-        first = ok[one[number]]
+        for g, (order, shared), length in zip(group, number, (SPAN - o, o), strict=True):
+            g[order] = np.cumsum(shared < length)
+        _, one, at = np.unique(group[0][ok] * np.int64(len(rec) + 1) + group[1][ok], return_index=True, return_inverse=True)
+        first = ok[one[at]]
         hit = ok[(rec["doc"][ok] != rec["doc"][first]) | (rec["pos"][ok] != rec["pos"][first])]
         low[hit], high[hit] = np.minimum(low[hit], o), o
     hit = np.flatnonzero(high >= 0)
@@ -390,8 +435,7 @@ def _buckets(parts: int):
                 a = b
             done = np.concatenate(done)
         else:
-            win = joined(blobs, WINDOW)
-            again, _ = _later(win[np.lexsort((win["start"], win["doc"]))])
+            again, _ = _later(joined(blobs, WINDOW))
             done = np.zeros(len(again), PLACE)
             done["doc"], done["start"], done["end"] = again["doc"], again["start"], again["start"].astype(np.int64) + SPAN
         yield from out.put(COVERED, doc_part(done["doc"], parts), done)
@@ -419,16 +463,18 @@ def covered_places(docs: DataFrame, hot_floor: int = HOT_FLOOR) -> DataFrame:
     """(doc, places): merged byte intervals of each document of docs(doc, text) that a repeat covers.
 
     Pass 1 finds the anchors whose leads are met twice. Pass 2 sends their suffixes, with what lies left of them, to buckets: ranges of the
-    leading bytes between sampled splitters. Equal leads never meet a boundary; leads that are met very often are taken apart into windows, which meet by hash.
+    leading bytes between sampled splitters. Equal leads fall on one side of a splitter, so suffixes on either side of a boundary share less than a lead
+    and no window: there is nothing to compare across. Leads that are met very often are taken apart into windows, which meet by their digests.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1024, size >> 24)
+    parts = max(1024, size // PART_BYTES)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
     work, done = _repeated(parts, hot_floor)
-    found = cut(by_part(docs.mapInPandas(_find(parts), PARTS), work, FOUND, done))
+    found = cut(by_part(docs.mapInPandas(_find(parts), PARTS), tasks, work, FOUND, done))
     release(spark)
-    hot = found.where("kind = 2").orderBy(F.desc("total"), "lead").limit(MOST_HOT).select("lead").toPandas()["lead"].to_numpy(np.int64).view(np.uint64)
-    places = cut(by_part(found.where("kind <> 2").select("kind", "part", "blob"), _points, "doc long, places binary"))
+    hot = found.where("kind = 2").orderBy(F.desc("total"), "lead").limit(max(MOST_HOT, parts)).select("lead").toPandas()["lead"].to_numpy(np.int64).view(np.uint64)
+    places = cut(by_part(found.where("kind <> 2").select("kind", "part", "blob"), tasks, _points, "doc long, places binary"))
     del found
     release(spark)
     marked = _attach(docs, places, "inner")
@@ -442,8 +488,8 @@ def covered_places(docs: DataFrame, hot_floor: int = HOT_FLOOR) -> DataFrame:
     splitters = sample[:: max(1, len(sample) // parts)] if len(sample) else sample
     work, done = _buckets(parts)
     sent = marked.mapInPandas(_suffixes(parts, spark.sparkContext.broadcast(splitters), spark.sparkContext.broadcast(np.sort(hot))), PARTS)
-    settled = by_part(sent, work, PARTS, done)
-    return cut(by_part(settled, _per_document, "doc long, places binary"))
+    settled = by_part(sent, tasks, work, PARTS, done)
+    return cut(by_part(settled, tasks, _per_document, "doc long, places binary"))
 
 
 def removal(data: bytes, places: bytes | None) -> tuple[int, int, str]:
@@ -463,7 +509,7 @@ def suffix_dedup(docs: DataFrame, hot_floor: int = HOT_FLOOR) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per row of docs.
 
     A byte goes if it lies in 100 bytes that also begin earlier, in a document with a smaller id or at a smaller place of the same one. Whole texts are read, as UTF-8;
-    strings never cross documents. Windows are told apart by 128 bits of hash (of their lead and of all their bytes).
+    strings never cross documents. Windows are told apart by their bytes, those of very common leads by 128 bits of BLAKE2b.
 
     A null text is empty. A null id counts as the largest. Rows that share an id are one document as far as order goes: at the same place none
     is earlier, so exact repeats of a row leave each other alone. Empty table: empty result.
