@@ -156,6 +156,38 @@ def test_dedup_stages_keep_one_row_of_each_text(spark):
     assert rows_of(near_dedup.near_dedup(whole)) == want
 
 
+def test_long_lists_are_compared_in_blocks(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(120)]
+
+    def changed(share):
+        w = list(base)
+        for i in rng.sample(range(len(w)), max(1, round(share * len(w)))):
+            w[i] = word()
+        return " ".join(w)
+
+    texts = [changed(rng.choice((0.01, 0.02, 0.03, 0.04, 0.05, 0.06))) for _ in range(90)] + [changed(0.3) for _ in range(10)]
+    label = jaccard_components(texts)
+    want = {i for i, x in enumerate(label) if i == min(j for j, y in enumerate(label) if x == y)}
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    for options in ({"short": 3, "block_rows": 8}, {}):
+        sets = near_dedup.near_sets(d, **options)
+        assert {r["doc_id"] for r in sets.groupBy("g").agg(F.min("doc_id").alias("doc_id")).collect()} == want
+
+
+def test_stages_take_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", "s", 1, 2, 3, 4.0, 5, {"k": "v"}), (2, "a b c d e f", "s", 1, 2, 3, 4.0, 5, {"k": "v"}), (3, "\t", "s", 1, 2, 3, 4.0, 5, None), (4, "\n\t", "s", 1, 2, 3, 4.0, 5, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, _gone int, row int, k int, _score double, tied int, extra map<string,string>")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    for stage in (exact_dedup.exact_dedup, near_dedup.near_dedup, mixing.mixed_documents, lambda x: toxicity.drop_toxic(x, labels)):
+        out = stage(d)
+        assert out.columns == d.columns
+        assert {r["extra"]["k"] if r["extra"] else None for r in out.collect()} <= {"v", None}
+    assert {r["doc_id"] for r in near_dedup.near_dedup(d).collect()} == {1, 3, 4}
+    assert {r["doc_id"] for r in exact_dedup.exact_dedup(d).collect()} == {1, 3}
+
+
 def test_links_and_components(spark):
     rng = random.Random(9)
     base = [rng.getrandbits(64) for _ in range(30)]
@@ -192,6 +224,51 @@ def test_suffix_dedup(docs, none):
     assert suffix_dedup.suffix_dedup(none).count() == 0
 
 
+#: Two words that a polynomial hash of 64 bits with one fixed multiplier can't tell apart.
+ALIKE = "m" * 28, "mkkpmkjknkkknmokljjnnmmmolmm"
+
+
+def test_suffix_dedup_compares_bytes(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(12):
+        start = "".join(rng.choice("abcdefghij ") for _ in range(72))
+        rows += [(2 * i, start + ALIKE[0]), (2 * i + 1, start + ALIKE[1])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert suffix_dedup.suffix_dedup(d).where("n_removed > 0").count() == 0
+    assert suffix_dedup.suffix_dedup(d, hot_floor=1).where("n_removed > 0").count() == 0
+
+
+def test_shared_prefixes_sorts_as_bytes_do():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 3, (300, 21)).astype(np.uint8)
+    x[100:200, :15] = x[0, :15]
+    x[200:220] = x[5]
+    order, shared = suffix_dedup.shared_prefixes(x)
+    own = [x[i].tobytes() for i in order]
+    assert own == sorted(r.tobytes() for r in x)
+    for i in range(1, 300):
+        n = next((j for j in range(21) if own[i][j] != own[i - 1][j]), 21)
+        assert shared[i] == n
+
+
+def test_words_are_told_apart_by_their_bytes():
+    t, w = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORDS)
+    texts = [*ALIKE, " ".join(ALIKE), "don't stop -- a'b'!c \x01x"]
+    assert token_counts.Counter(BYTE).counts(texts).tolist() == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+    assert [x.tolist() for x in packing.WordIds(WORDS).encode(texts)] == [w.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_every_character_has_the_librarys_class():
+    import unicodedata
+
+    own, t = token_counts.classes(BYTE), Tokenizer.from_file(BYTE)
+    counter = token_counts.Counter(BYTE)
+    other = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and {"L": token_counts.LETTER, "N": token_counts.NUMBER}.get(unicodedata.category(chr(c))[0], token_counts.OTHER) != own[c]]
+    texts = [f"{chr(c)}'s 1{chr(c)}a  {chr(c)}\n{chr(c)}!" for c in [*range(0, 0x500), *other[::7], *range(0x500, 0xD800, 97), *range(0xE000, 0x110000, 1009)]]
+    assert counter.counts(texts).tolist() == [len(e.ids) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def test_token_counts(docs, none):
     t = Tokenizer.from_file(BYTE)
     want = Counter((r[0], len((r[1] or "").encode()), n := len(t.encode(r[1] or "", add_special_tokens=False).ids), n > 512) for r in ROWS)
@@ -241,11 +318,45 @@ def test_mixing(docs, none):
         if r["doc_id"] is not None:
             assert r["target"] == pytest.approx(target[by[r["doc_id"]]]) and r["source_size"] == total[by[r["doc_id"]]]
     assert abs(sum(r["taken"] for r in got) - sum(total.values())) <= len(total)
+    assert sum(r["taken"] for r in got) == sum(total.values())
     assert rows_of(mixing.mix_totals(docs)) == Counter(tuple(r) for r in got)
     assert mixing.mix_totals(none).count() == 0
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_the_queue_by_finish_time_decides(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * rng.choice((0, 1, 5, 30, 90))), rng.choice("aaabc"), 1, 2, 3) for i in range(400)] + [(1000, "w " * 3000, "c", 1, 2, 3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, _n int, _copy int, at int").repartition(3)
+    size = {i: len(t.split()) for i, t, *_ in rows}
+    total = {s: sum(size[i] for i, _, x, *_ in rows if x == s) for s in "abc"}
+    copies = mixing.mix(d).collect()
+    by = defaultdict(int)
+    for r in copies:
+        by[r["source"]] += r["taken"]
+    target = {r["source"]: r["target"] for r in copies}
+    assert sum(by.values()) == sum(total.values())
+    for s in "abc":  # within a fragment of the largest document
+        assert abs(by[s] - target[s]) <= 3000 / mixing.FRAGMENTS + 1
+    cut = max(r["finish"] for r in copies if r["taken"] == r["size"] > 0)
+    assert all(r["taken"] == r["size"] for r in copies if r["finish"] < cut - 3000 and r["size"])
+    place = {}
+    for r in copies:
+        if r["size"] and 2 * r["taken"] >= r["size"] or not r["size"] and r["epoch"] == 0:
+            place.setdefault(r["doc_id"], []).append(r["finish"])
+    want = [i for _, i in sorted((f, i) for i, fs in place.items() for f in fs)]
+    out = mixing.mixed_documents(d)
+    assert out.columns == d.columns
+    got = [r["doc_id"] for r in out.collect()]
+    assert Counter(got) == Counter(want)
+    finish = [sorted(place[i]) for i in got]
+    met, order = Counter(), []
+    for i, f in zip(got, finish, strict=True):
+        order.append(f[met[i]])
+        met[i] += 1
+    assert order == sorted(order)
+
+
 def test_toxicity(spark, docs, none):
     rng = random.Random(2)
     words = ["".join(rng.choice("abcdef") for _ in range(4)) for _ in range(60)]
@@ -284,15 +395,79 @@ def test_secrets(docs, none):
 
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
-    model = secrets.Crf(rng.normal(size=(secrets.FEATURES, 3)), rng.normal(size=(3, 3)))
-    run = [[int(x) for x in rng.integers(0, 40, 3)] for _ in range(5)]
-    own, move = model.potentials(run), model.move + model.BAR
+    model = secrets.Crf(rng.normal(size=(secrets.FEATURES, 2)), rng.normal(size=(3, 3)))
+    move = model.steps
 
-    def worth(path):
+    def worth(own, path):
         p = [0, *path, 0]
         return sum(move[a, b] for a, b in itertools.pairwise(p)) + sum(own[i, x] for i, x in enumerate(path))
 
-    assert worth(model.viterbi(run)) == pytest.approx(max(worth(p) for p in itertools.product(range(3), repeat=5)))
+    for n in (1, 2, 5, 7):
+        own = rng.normal(size=(n, 3))
+        for pieces in ([own], [own[:1], own[1:2], own[2:]]):
+            got = np.concatenate(model.tags(pieces))
+            assert worth(own, got) == pytest.approx(max(worth(own, p) for p in itertools.product(range(3), repeat=n)))
+    for n in (32, 33, 400):  # over several chunks: one token after the other
+        own = rng.normal(size=(n, 3))
+        best, back = own[0] + move[0], []
+        for x in own[1:]:
+            back.append((best[:, None] + move).argmax(axis=0))
+            best = (best[:, None] + move).max(axis=0) + x
+        path = [int((best + move[:, 0]).argmax())]
+        for x in reversed(back):
+            path.append(int(x[path[-1]]))
+        assert np.concatenate(model.tags([own[:17], own[17:]])).tolist() == path[::-1]
+
+
+def test_gradient_of_the_field():
+    rng = np.random.default_rng(2)
+    feats = rng.integers(0, 9, (3, len(secrets.SIZES))).astype(np.int32) + secrets.OFFSETS[:-1].astype(np.int32) * 0
+    labels = np.array([1, 2, 0])
+
+    def loss(model):
+        own, move = model.potentials(feats), model.steps
+        total = lambda p: sum(move[a, b] for a, b in itertools.pairwise([0, *p, 0])) + sum(own[i, x] for i, x in enumerate(p))
+        return total(labels) - np.logaddexp.reduce([total(p) for p in itertools.product(range(3), repeat=3)])
+
+    before = secrets.Crf(rng.normal(size=(secrets.FEATURES, 2)) * 0.1, rng.normal(size=(3, 3)) * 0.1)
+    after = secrets.Crf(before.emit.copy(), before.move.copy()).train([(feats, labels)], rounds=1, rate=1e-4)
+    assert loss(after) > loss(before)
+    # the first step of Adam is the sign of the gradient
+    for at in [(int(feats[0][0]), 0), (int(feats[1][3]), 1)]:
+        up = secrets.Crf(before.emit.copy(), before.move.copy())
+        up.emit[at] += 1e-5
+        assert np.sign(loss(up) - loss(before)) == np.sign(after.emit[at] - before.emit[at])
+
+
+def planted(seed, n):
+    """(text, secret or None, ordinary token) with words that are never seen in training."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    for i in range(n):
+        secret = "".join(rng.choice(letters) for _ in range(rng.choice((20, 32, 40)))) if i % 2 else None
+        other = rng.choice(["2024-11-26T10:11:12Z", "https://a.example/x/y-12.html", "jo.do42@mail.example", "v1.12.3", "+1 (487) 555-7209", "1,204,300", "10:22"])
+        opening = rng.choice(["Bearer ", "pwd ", "key: ", '"'])
+        yield " ".join(word() for _ in range(30)) + f" {opening}{secret or word()} " + " ".join(word() for _ in range(20)) + f" {other} " + word(), secret, other
+
+
+def test_trained_field_finds_secrets_without_keywords(spark):
+    own = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = secrets.train(own, train_docs=150)
+    cases = list(planted(7, 200))
+    found = [[t[s:e] for s, k, e in every if secrets.KINDS[k] == "crf"] for (t, _, _), (_, every) in zip(cases, secrets.scan_texts([c[0] for c in cases], model), strict=True)]
+    with_secret = [c[1] in f for c, f in zip(cases, found, strict=True) if c[1]]
+    assert np.mean(with_secret) >= 0.9
+    wrong = sum(len([x for x in f if x != c[1]]) for c, f in zip(cases, found, strict=True))
+    assert wrong <= 0.05 * len(cases)
+    assert not any("2024-11-26" in x for f in found for x in f)
+    spans = secrets.secret_scan(own, model).where("spans LIKE '%crf:%'").count()
+    assert spans > 0
+    text = " ".join(c[0] for c in cases)  # pieces of a long text are read as the whole is
+    whole = secrets.field_spans(model, text.encode())
+    size, secrets.PIECE = secrets.PIECE, 700
+    assert secrets.field_spans(model, text.encode()) == whole == secrets.many_spans(model, [text.encode(), b""])[0]
+    secrets.PIECE = size
 
 
 def test_top_k(spark):
