@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veridock.functions.text import TABLE_ROW, collapse, strip
+from veridock.functions.text import RECORD_ROW, TABLE_ROW, collapse, strip
 
 #: A numbered heading; headings without numbers and their levels, in the order in which they are tried.
 NUMBERED = r"^(\d+(?:\.\d+)*)\.?\s+(\S.*)$"
@@ -90,7 +90,7 @@ def coverage_units(markdown: Column) -> Column:
     """Pieces of a source that must reach chunks: paragraphs of 40 characters or more; of tables and records, such lines. Headings don't count."""
     blocks = F.transform(F.split(markdown, r"\n\s*\n"), lambda b: strip(b))
     rows = lambda b: F.split(b, "\n")
-    tabular = lambda b: F.exists(rows(b), lambda x: x.rlike(TABLE_ROW)) | (F.size(F.filter(rows(b), lambda x: x.rlike(r"^\s*-\s+.*«"))) >= 2)
+    tabular = lambda b: F.exists(rows(b), lambda x: x.rlike(TABLE_ROW)) | (F.size(F.filter(rows(b), lambda x: x.rlike(RECORD_ROW))) >= 2)
     pieces = F.flatten(F.transform(F.filter(blocks, lambda b: (b != "") & ~b.startswith("#")), lambda b: F.when(tabular(b), F.transform(rows(b), strip)).otherwise(F.array(b))))
     return F.filter(pieces, lambda p: F.length(p) >= UNIT_CHARS)
 

@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters of the Latin languages handled here and their base letters.
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ"
-BASE = "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCY"
+
+
+def _compatible() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose compatibility decomposition (NFKD), without combining marks, is one other character, or several of ASCII."""
+    one, many = {}, {}
+    for c in map(chr, [*range(0xA0, 0x2E80), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if len(plain) == 1 and plain != c:
+            one[c] = plain
+        elif len(plain) > 1 and plain.isascii() and plain.isalnum():
+            many[c] = plain
+    return one, many
+
+
+SINGLE, SEVERAL = _compatible()
 #: Ligature glyphs and their letters.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
 #: Fixed value: an inline evidence grade, a heading, a section number at a heading's start, a table row.
@@ -15,6 +29,8 @@ GRADE = r"\(\s*\*{0,2}\s*([ABC])\s*-?\s*(I{1,3})\s*\*{0,2}\s*\)"
 HEADING = r"^(#{1,6})\s+(.*\S)\s*$"
 SECTION_NUMBER = r"^(\d+(?:\.\d+)*)\.?\s"
 TABLE_ROW = r"^\s*\|.*\|\s*$"
+#: Fixed value: a row of a wide table that became a record.
+RECORD_ROW = r"^\s*[-*]\s+\S.*?:\s+\S"
 
 
 def strip(x: Column) -> Column:
@@ -35,7 +51,12 @@ def citation_form(x: Column) -> Column:
 
 
 def strip_accents(x: Column) -> Column:
-    return F.translate(x, ACCENTED, BASE)
+    """Compatibility forms and accents undone (NFKD without combining marks), as far as a form stands for one character or for ASCII letters and digits."""
+    split = x
+    for c, plain in SEVERAL.items():
+        split = F.replace(split, F.lit(c), F.lit(plain))
+    y = F.translate(F.when(x.rlike("[" + "".join(SEVERAL) + "]"), split).otherwise(x), "".join(SINGLE), "".join(SINGLE.values()))
+    return F.regexp_replace(y, r"\p{Mn}+", "")
 
 
 def fold(x: Column) -> Column:
@@ -54,7 +75,7 @@ def alnum(x: Column) -> Column:
 
 def tidy(x: Column) -> Column:
     """No space before marks, no blanks at line ends, at most one empty line in a row, one line end at the end."""
-    y = F.regexp_replace(x, r"[ \t]+([,.;:])", "$1")
+    y = F.regexp_replace(x, r"[ \t]+([,.;:)])", "$1")
     y = F.regexp_replace(y, r"[ \t]+\n", "\n")
     y = F.regexp_replace(y, r"\n{3,}", "\n\n")
     return F.concat(F.regexp_replace(y, r"^\s+|\s+$", ""), F.lit("\n"))
@@ -115,6 +136,16 @@ def is_mostly_table(body: Column) -> Column:
     return (rows >= 3) & (rows > 0.6 * F.size(text))
 
 
+def has_tabular_content(body: Column) -> Column:
+    """A row of a grid, or a record."""
+    return F.exists(lines(body), lambda line: line.rlike(TABLE_ROW) | line.rlike(RECORD_ROW))
+
+
+def clean_cell(x: Column) -> Column:
+    """A table's cell on one line, without ligatures; null is empty."""
+    return collapse(expand_ligatures(F.coalesce(x, F.lit(""))))
+
+
 def content_id(*parts: Column) -> Column:
     """First 16 hex digits of the SHA-1 of the parts joined by NUL; null parts are empty."""
     return F.substring(F.sha1(F.concat_ws("\0", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])), 1, 16)

@@ -17,7 +17,7 @@ def running_heads(lines: DataFrame) -> DataFrame:
     """(doc_id, key) of lines(doc_id, page, line_no, text) among the first or last two of enough pages."""
     up, down = (Window.partitionBy("doc_id", "page").orderBy(o) for o in (F.col("line_no"), F.col("line_no").desc()))
     edge = lines.withColumns({"_u": F.row_number().over(up), "_d": F.row_number().over(down)}).where("_u <= 2 OR _d <= 2")
-    seen = edge.select("doc_id", "page", "text").distinct().groupBy("doc_id", head_key(F.col("text")).alias("key")).agg(F.count("*").alias("n"))
+    seen = edge.select("doc_id", "page", head_key(F.col("text")).alias("key")).distinct().groupBy("doc_id", "key").agg(F.count("*").alias("n"))
     pages = lines.groupBy("doc_id").agg(F.countDistinct("page").alias("pages"))
     return seen.join(pages, "doc_id").where((F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("pages") / 2))) & (F.length("key") > 12)).select("doc_id", "key")
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from veridock.operators.lineage import cut
+
 
 def undirected(edges: DataFrame, order: str | None = None) -> DataFrame:
     """One row per pair (src < dst) of edges(src, dst, ...); with `order`, the attributes of the last row of a pair win. Loops go."""
@@ -77,57 +79,120 @@ def pagerank(edges: DataFrame, reset: DataFrame, alpha: float = 0.85, rounds: in
     return rank
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+#: Steps (edges both ways) up to which a graph is iterated in memory.
+IN_MEMORY = 2_000_000
+
 
+def _small_pagerank(steps: pd.DataFrame, mass: pd.DataFrame, like: DataFrame, alpha: float, tol: float, max_iter: int) -> DataFrame:
+    schema = f"node {like.schema['node'].dataType.simpleString()}, rank double"
+    names, at = np.unique(np.concatenate([steps["src"].to_numpy(), steps["dst"].to_numpy(), mass["node"].to_numpy()]), return_inverse=True)
+    src, dst, own = at[: len(steps)], at[len(steps) : 2 * len(steps)], at[2 * len(steps) :]
+    n, degree = len(names), np.bincount(src, minlength=len(names))
+    seed, rank = np.bincount(own, mass["mass"].to_numpy(dtype=float), n) if n else np.zeros(0), np.full(n, 1.0 / max(n, 1))
+    for _ in range(max_iter):
+        got = np.bincount(dst, (rank / np.maximum(degree, 1))[src], n)
+        old, rank = rank, alpha * got + (alpha * rank[degree == 0].sum() + 1 - alpha) * seed
+        if np.abs(rank - old).sum() < tol * n:
+            return like.sparkSession.createDataFrame(list(zip(names.tolist(), rank.tolist(), strict=True)), schema)
+    return like.sparkSession.createDataFrame([], schema)
 
-def converged_pagerank(edges: DataFrame, reset: DataFrame, alpha: float = 0.85, tol: float = 1e-6, max_iter: int = 100) -> DataFrame:
+
+def converged_pagerank(edges: DataFrame, reset: DataFrame, alpha: float = 0.85, tol: float = 1e-6, max_iter: int = 100, in_memory: int = IN_MEMORY) -> DataFrame:
     """(node, rank): pagerank() as far as the reference's tolerance: rounds stop when the sum of changes is under tol * nodes.
 
-    No rows if max_iter rounds don't reach that. Each round is cut (locally where no checkpoint folder is set) and its change comes to the driver.
+    No rows if max_iter rounds don't reach that. Graphs of up to IN_MEMORY steps, by count, are iterated in the driver's memory (some 40 bytes a step); beyond, each
+    round is a join that is cut, and its change comes to the driver.
     """
-    steps = _cut(both_ways(edges).join(degree(edges), F.col("src") == F.col("node")).select("src", "dst", "degree"))
+    steps = both_ways(edges)
+    if (most := steps.limit(in_memory + 1).count()) <= in_memory and reset.limit(in_memory + 1).count() <= in_memory:
+        return _small_pagerank(steps.toPandas() if most else pd.DataFrame({"src": [], "dst": []}), reset.toPandas(), reset, alpha, tol, max_iter)
+    steps = cut(both_ways(edges).join(degree(edges), F.col("src") == F.col("node")).select("src", "dst", "degree"))
     nodes = steps.select(F.col("src").alias("node")).unionAll(reset.select("node")).distinct()
-    base = _cut(nodes.join(reset, "node", "left").select("node", F.coalesce("mass", F.lit(0.0)).alias("mass")))
+    loose = nodes.join(steps.select(F.col("src").alias("node")).distinct().withColumn("tied", F.lit(True)), "node", "left").select("node", F.col("tied").isNull().alias("loose"))
+    base = cut(loose.join(reset, "node", "left").select("node", F.coalesce("mass", F.lit(0.0)).alias("mass"), "loose"))
     n = base.count()
     rank = base.select("node", F.lit(1.0 / max(n, 1)).alias("rank"))
+    lost = rank.join(base, "node").agg(F.sum(F.when(F.col("loose"), F.col("rank")).otherwise(0.0))).first()[0] or 0.0
     for _ in range(max_iter):
-        sent = _cut(rank.join(steps, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got")))
-        moved = sent.agg(F.sum("got")).first()[0] or 0.0
-        new = base.join(sent, "node", "left").select("node", (alpha * F.coalesce("got", F.lit(0.0)) + (alpha * (1 - moved) + 1 - alpha) * F.col("mass")).alias("rank"))
-        new = _cut(new.join(rank.withColumnRenamed("rank", "old"), "node"))
-        change = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0
+        sent = rank.join(steps, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
+        new = base.join(sent, "node", "left").select("node", "loose", (alpha * F.coalesce("got", F.lit(0.0)) + (alpha * lost + 1 - alpha) * F.col("mass")).alias("rank"))
+        new = cut(new.join(rank.withColumnRenamed("rank", "old"), "node"))
+        change, lost = new.agg(F.sum(F.abs(F.col("rank") - F.col("old"))), F.sum(F.when(F.col("loose"), F.col("rank")).otherwise(0.0))).first()
         rank = new.select("node", "rank")
-        if change < tol * n:
+        if (change or 0.0) < tol * n:
             return rank
     return rank.limit(0)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, block: int = 512) -> DataFrame:
+#: Rows of one side of a product; a block of 64 numbers each takes 2 MB.
+SIDE = 4096
+
+
+def blocks_of(vectors: DataFrame, side: int = SIDE) -> DataFrame:
+    """vectors(id, v) as (block, ids, rows): up to about `side` rows each, by a hash of the id."""
+    n = max(1, -(-vectors.count() // side))
+    return vectors.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, side: int = SIDE) -> DataFrame:
     """(a, b, similarity) of all pairs a < b whose dot product reaches the threshold, by blocked matrix products.
 
-    vectors(id long, v array): each row goes to the pairs of blocks that it takes part in, so no task holds more than two blocks.
+    vectors(id long, v array). Blocks of `side` rows are gathered once; a pair of blocks is a row of two block numbers, joined to its two blocks, so N * N / side
+    vectors are moved (an eighth of what blocks of 512 move) and no task holds more than two blocks.
+    """
+    blocks = cut(blocks_of(vectors, side))
+    n = blocks.agg(F.max("block")).first()[0]
+    pairs = vectors.sparkSession.range((n or 0) + 1).select(F.col("id").cast("int").alias("x"))
+    pairs = pairs.withColumn("y", F.explode(F.sequence("x", F.lit(n or 0))))
+    left, right = (blocks.select(F.col("block").alias(c), F.col("rows").alias(f"r{c}")) for c in "xy")
+
+    def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for x, y, p, q in zip(batch["x"], batch["y"], batch["rx"], batch["ry"], strict=True):
+                a, b = (np.array([r["id"] for r in z], np.int64) for z in (p, q))
+                v, w = (np.stack([np.asarray(r["v"], np.float64) for r in z]) for z in (p, q))
+                sims = v @ w.T
+                i, j = np.nonzero(sims >= threshold)
+                keep = a[i] < b[j] if x == y else a[i] != b[j]
+                i, j = i[keep], j[keep]
+                yield pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "similarity": sims[i, j]})
+
+    return pairs.join(left, "x").join(right, "y").mapInPandas(product, "a long, b long, similarity double")
+
+
+def dense_top_k(rows: DataFrame, queries: DataFrame, k: int, digits: int = 6, side: int = SIDE, unit: bool = True) -> DataFrame:
+    """(query, id, score, rank): for each of queries(id, v) the k rows(id, v) of highest cosine (or dot product, if not unit), ties to the smaller id. A zero vector
+    has cosine 0.
+
+    Both are gathered into blocks, and a pair of blocks is a row of two block numbers, joined to its two blocks. What leaves a pair is the k best of each
+    query, so no pair of vectors becomes a row, and nothing is broadcast. Scores are rounded to `digits` before they are ranked.
     """
-    n = max(1, -(-vectors.count() // block))
-    own = vectors.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    pairs = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("id", "v", F.least("_b", "_o").alias("x"), F.greatest("_b", "_o").alias("y"), "_b")
-
-    def product(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows["x"].iloc[0]
-        left, right = rows[rows["_b"] == x], rows[rows["_b"] == rows["y"].iloc[0]]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "similarity": []})
-        sims = np.stack(left["v"]).astype(np.float64) @ np.stack(right["v"]).astype(np.float64).T
-        i, j = np.nonzero(sims >= threshold)
-        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        keep = a < b if x == rows["y"].iloc[0] else a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": sims[i, j][keep]})
-
-    return pairs.groupBy("x", "y").applyInPandas(product, "a long, b long, similarity double")
-
-
-def flatten_triples(openie: Iterator) -> Iterator:
-    """(chunk_id, subject, relation, object) rows of (chunk_id, triples)."""
-    for chunk, triples in openie:
-        for s, r, o in triples:
-            yield chunk, s, r, o
+    asked, held = cut(blocks_of(queries, side)), cut(blocks_of(rows, side))
+    n, m = (x.agg(F.max("block")).first()[0] for x in (asked, held))
+
+    def scaled(rows_) -> np.ndarray:
+        v = np.stack([np.asarray(x, np.float64) for x in rows_])
+        if not unit:
+            return v
+        norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        return v / np.where(norm == 0, 1, norm)
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for block, held in zip(batch["asked"], batch["held"], strict=True):
+                ids, names = (np.array([r["id"] for r in z], np.int64) for z in (held, block))
+                sims = np.round(scaled([r["v"] for r in block]) @ scaled([r["v"] for r in held]).T, digits)
+                order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :k]
+                yield pd.DataFrame({"query": np.repeat(names, order.shape[1]), "id": ids[order].ravel(), "score": np.take_along_axis(sims, order, axis=1).ravel()})
+
+    pairs = rows.sparkSession.range((m or 0) + 1).select(F.col("id").cast("int").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(n or 0))).alias("x"))
+    both = pairs.join(asked.select(F.col("block").alias("x"), F.col("rows").alias("asked")), "x").join(held.select(F.col("block").alias("y"), F.col("rows").alias("held")), "y")
+    found = both.mapInPandas(best, "query long, id long, score double")
+    w = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def flatten_triples(extracted: DataFrame) -> DataFrame:
+    """(chunk_id, subject, relation, object) of extracted(chunk_id, triples array of arrays of three); others are left out."""
+    each = extracted.select("chunk_id", F.explode("triples").alias("x")).where(F.size("x") == 3)
+    return each.select("chunk_id", *[F.get("x", F.lit(i)).alias(c) for i, c in enumerate(("subject", "relation", "object"))])

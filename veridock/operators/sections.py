@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veridock.functions.text import HEADING, SECTION_NUMBER, TABLE_ROW, content_id, section_number
+from veridock.functions.labels import breadcrumb_prefix
+from veridock.functions.text import HEADING, RECORD_ROW, SECTION_NUMBER, TABLE_ROW, content_id, grades, section_number
 
 #: Sizes in tokens: upper bound, aim of merging, size under which a section is merged, overlap, cap of the breadcrumb.
 MAX_TOKENS, TARGET_TOKENS, MIN_TOKENS, OVERLAP_TOKENS, PREFIX_TOKENS = 900, 600, 200, 80, 120
 PREAMBLE = "Preámbulo"
 TOKEN = re.compile(r"\w+|[^\w\s]")
-RECORD = re.compile(r"^\s*-\s+[^:\n]+:\s.*«", re.M)
+RECORD = re.compile(RECORD_ROW, re.M)
 
 
 def count_tokens(text: str) -> int:
@@ -153,7 +154,9 @@ def units(own: list[Section]) -> Iterator[tuple[Section, str, str, list[str]]]:
             yield s, s.body, kind, [s.heading]
 
 
-CHUNK = "doc_id string, chunk_index int, heading string, level int, section_path array<string>, section_number string, content_type string, n_tokens int, n_chars int, text string, text_for_retrieval string"
+CHUNK = "doc_id string, chunk_index int, heading string, level int, section_path array<string>, section_number string, content_type string, n_chars int, text string"
+#: What a document's row of the manifest says of each of its chunks.
+METADATA = ("doc_title", "specialty", "topics", "organization", "year")
 
 
 def _chunks(rows: pd.DataFrame) -> pd.DataFrame:
@@ -170,16 +173,28 @@ def _chunks(rows: pd.DataFrame) -> pd.DataFrame:
             if len(set(parts)) > 1:
                 break
             common.append(parts[0])
-        prefix = " > ".join(s.path)
-        full = f"{prefix}\n\n{body}"
-        out.append((str(rows["doc_id"].iloc[0]), k, s.heading, s.level, list(s.path), ".".join(common) or None, kind, count_tokens(full), len(body), body, full))
+        number = ".".join(common)
+        path = s.path
+        if number and len(heads) > 1:  # several sections: the chunk is that of the ancestor they have in common, if it has that number
+            path = next((s.path[: i + 1] for i in range(len(s.path) - 1, -1, -1) if re.match(re.escape(number) + r"\.?\s", s.path[i])), s.path)
+        out.append((str(rows["doc_id"].iloc[0]), k, path[-1] if path else s.heading, s.level, list(path), number or None, kind, len(body), body))
     return pd.DataFrame(out, columns=[c.split()[0] for c in CHUNK.split(", ")])
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """Chunks of docs(doc_id, text), documents in parallel, with a content-addressed chunk_id."""
+def chunks(docs: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
+    """Chunks of docs(doc_id, text), documents in parallel, with a content-addressed chunk_id, evidence grades and, of manifest(doc_id, title, ...), METADATA.
+
+    A text without headings has its document's title as its path. text is what may be cited; text_for_retrieval has the capped breadcrumb before
+    it, and n_tokens counts that.
+    """
     own = sections(docs).groupBy("doc_id").applyInPandas(_chunks, CHUNK)
-    return own.withColumn("chunk_id", content_id(F.col("doc_id"), F.col("section_number"), F.col("heading"), F.col("text")))
+    known = None if manifest is None else manifest.select(F.col("doc_id").cast("string").alias("doc_id"), *[F.col("title" if c == "doc_title" else c).alias(c) for c in METADATA])
+    own = own.withColumns({c: F.lit(None).cast("array<string>" if c == "topics" else "int" if c == "year" else "string") for c in METADATA}) if known is None else own.join(known, "doc_id", "left")
+    bare = F.size(F.filter("section_path", lambda p: p != PREAMBLE)) == 0
+    own = own.withColumn("section_path", F.when(bare & F.col("doc_title").isNotNull(), F.array("doc_title")).otherwise(F.col("section_path")))
+    full = F.concat(breadcrumb_prefix(F.col("section_path"), PREFIX_TOKENS), F.col("text"))
+    own = own.withColumns({"text_for_retrieval": full, "evidence_grades": grades(F.col("text")), "chunk_id": content_id(F.col("doc_id"), F.col("section_number"), F.col("heading"), F.col("text"))})
+    return own.withColumn("n_tokens", F.regexp_count("text_for_retrieval", F.lit(r"(?U)\w+|[^\w\s]")))
 
 
 def neighbours(df: DataFrame, group: str, order: str, text: str, window: int = 1) -> DataFrame:

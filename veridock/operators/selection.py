@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veridock.functions.text import collapse
+from veridock.functions.text import collapse, fold, score_window
+from veridock.operators.lineage import cut, placed
 
 RRF_K, BM25_K1, BM25_B = 60, 1.2, 0.75
 
@@ -19,12 +21,15 @@ def in_scope(specialty: Column, scope: str | None) -> Column:
 
 
 def merge_dedup(lists: list[DataFrame], key: str, pos: str, group: list[str] = []) -> DataFrame:  # noqa: B006
-    """Concatenation of ranked lists in which the first row of each key stays, in order (column `place`, from 1). Rows without key go."""
+    """Concatenation of ranked lists in which the first row of each key stays, in order (column `place`, from 1). Rows without key go.
+
+    Without a group, places are numbered by a range sort, so no task sees all rows; groups (queries) are numbered each on its own.
+    """
     tagged = reduce(DataFrame.unionByName, [d.withColumn("_list", F.lit(i)) for i, d in enumerate(lists)]).where(F.col(key).isNotNull())
-    first = Window.partitionBy(*group, key).orderBy("_list", pos)
-    order = Window.partitionBy(*group).orderBy("_list", pos)
-    kept = tagged.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return kept.withColumn("place", F.row_number().over(order)).drop("_n", "_list")
+    kept = tagged.withColumn("_n", F.row_number().over(Window.partitionBy(*group, key).orderBy("_list", pos))).where("_n = 1").drop("_n")
+    order = [F.col("_list"), F.col(pos), F.col(key)]
+    numbered = kept.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))) if group else placed(kept, order)
+    return numbered.drop("_list")
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -44,31 +49,87 @@ def rrf(lists: list[DataFrame], key: str, rank: str, group: list[str] = [], k: i
     return both.groupBy(*group, key).agg(F.sum(1.0 / (k + F.col("_r"))).alias("score"))
 
 
+TERMS = r"[\p{L}\p{N}]+"
+
+
+def _terms(text: str) -> Column:
+    return F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERMS), F.lit(0))
+
+
 def postings(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(term, doc, tf, length): the inverted index, with the number of terms of each document."""
-    words = docs.select(doc, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("term"))
-    tf = words.groupBy(doc, "term").agg(F.count("*").alias("tf"))
-    length = words.groupBy(doc).agg(F.count("*").alias("length"))
-    return tf.join(length, doc)
+    """(term, doc, tf, length): the inverted index, with the number of terms of each document. Texts are split once."""
+    each = docs.select(doc, _terms(text).alias("_w")).select(doc, F.size("_w").alias("length"), F.explode("_w").alias("term"))
+    return each.groupBy("term", doc).agg(F.count("*").alias("tf"), F.max("length").alias("length"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """(query, doc, score) of all docs(doc, text) that share a term with one of queries(query, text).
+
+    The terms that are asked for are few, and broadcast if there are at most 100,000 of them; texts are split, and only those terms' occurrences are
+    counted and shuffled, into an index that is written once and read for frequencies and hits. Lengths come from the same pass.
+    """
+    asked = cut(queries.select(query, F.explode(F.array_distinct(_terms(text))).alias("term")))
+    terms = cut(asked.select("term").distinct())
+    split = docs.select(doc, _terms(text).alias("_w")).select(doc, F.size("_w").alias("length"), "_w")
+    stats = split.where("length > 0").agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    own = split.select(doc, "length", F.explode("_w").alias("term"))
+    own = own.join(F.broadcast(terms) if terms.count() <= 100_000 else terms, "term", "left_semi")
+    index = cut(own.groupBy("term", doc).agg(F.count("*").alias("tf"), F.max("length").alias("length")))
+    df = index.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.lit(stats["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(stats["mean"])))
+    return asked.join(df, "term").join(index, "term").groupBy(query, doc).agg(F.sum(idf * tf).alias("score"))
+
+
+def hybrid(dense: DataFrame, sparse: DataFrame, group: str, key: str, k: int, specialty: DataFrame | None = None, scope: str | None = None, prefetch: int = 30) -> DataFrame:
+    """(group, key, score, rank): reciprocal rank fusion of two scored branches(group, key, score), each in scope and cut to `prefetch` before it is fused.
+
+    specialty(key, specialty) says what each row belongs to; rows of none are in every scope.
+    """
+    branches = []
+    for branch in (dense, sparse):
+        own = branch if specialty is None or not scope else branch.join(specialty, key).where(in_scope(F.col("specialty"), scope))
+        branches.append(top_per_group(own.select(group, key, "score"), [group], [F.col("score").desc(), F.col(key)], prefetch))
+    fused = rrf(branches, key, "rank", [group]).withColumn("score", F.round("score", 9))
+    return top_per_group(fused, [group], [F.col("score").desc(), F.col(key)], k)
+
+
+def rerank(candidates: DataFrame, group: str, question: str, text: str, scorer: Callable[[Column, Column], Column], order: list[str], k: int = 5, chars: int = 512) -> DataFrame:
+    """The k candidates of each group that scorer(question, window) rates best, ties in the order they came in; `score` and `place` from 1.
+
+    The scorer, a model or an expression, sees of each text the stretch of `chars` characters that holds most words of the question.
+    """
+    scored = candidates.withColumn("score", scorer(F.col(question), score_window(F.col(text), F.col(question), chars)))
+    return top_per_group(scored, [group], [F.col("score").desc(), *map(F.col, order)], k, "place")
+
+
+def shared_words(question: Column, window: Column) -> Column:
+    """The default scorer: how many distinct words of the question the window holds."""
+    words = lambda x: F.array_distinct(F.split(F.trim(F.regexp_replace(fold(x), "[^a-z0-9]+", " ")), " "))
+    return F.size(F.filter(F.array_intersect(words(question), words(window)), lambda w: w != ""))
+
+
+def baseline_shot(candidates: DataFrame, group: str, question: str, text: str, rank: str, hybrid_k: int = 20, k: int = 5, scorer: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """The baseline mode: the first hybrid_k of a hybrid search, ranked anew, k of them."""
+    return rerank(candidates.where(F.col(rank) <= hybrid_k), group, question, text, scorer or shared_words, [rank], k)
 
 
-def bm25(index: DataFrame, queries: DataFrame, doc: str, query: str, text: str, n_docs: Column | None = None, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    """(query, doc, score) of all documents that share a term with the query."""
-    stats = index.select(doc, "length").distinct().agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    asked = queries.select(query, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("term"))
-    df = index.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    hit = asked.join(df, "term").join(index, "term").join(F.broadcast(stats))  # one row of statistics
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    return hit.groupBy(query, doc).agg(F.sum(idf * tf).alias("score"))
+def graded_recommendations(chunks: DataFrame, wanted: tuple[str, ...] = ("A-I", "A-II", "A-III")) -> DataFrame:
+    """Recommendations that bear one of the wanted grades."""
+    return chunks.where((F.col("content_type") == "recommendations") & F.arrays_overlap("evidence_grades", F.array(*map(F.lit, wanted))))
 
 
-def lookup_by_text(asked: DataFrame, rows: DataFrame, text: str, own: str, chunk: str, prefix: int = 120) -> DataFrame:
-    """Texts to chunks: by whole normalised text, else by its opening of `prefix` characters if only one row has that opening.
+def lookup_by_text(asked: DataFrame, rows: DataFrame, text: str, own: str, chunk: str, prefix: int = 120, retrieval: str | None = None) -> DataFrame:
+    """Texts to chunks: by whole normalised text, else by its opening of `prefix` characters if only one key has that opening.
 
+    A row's keys are its text and, if `retrieval` names one, its retrieval form; where two rows have a key, one whose retrieval form it is comes first.
     Result: asked with columns chunk and how (exact, prefix); misses are dropped.
     """
     keyed = rows.select(F.col(chunk), collapse(F.col(own)).alias("_key"))
+    if retrieval:
+        forms = rows.select(F.col(chunk), collapse(F.col(retrieval)).alias("_key"))
+        each = forms.withColumn("_o", F.lit(0)).unionAll(keyed.withColumn("_o", F.lit(1))).where("_key IS NOT NULL")
+        keyed = each.groupBy("_key").agg(F.min(F.struct("_o", chunk))[chunk].alias(chunk)).select(chunk, "_key")
     asked = asked.withColumn("_key", collapse(F.col(text)))
     exact = asked.join(keyed.groupBy("_key").agg(F.min(chunk).alias(chunk)), "_key").withColumn("how", F.lit("exact"))
     rest = asked.join(keyed.select("_key").distinct(), "_key", "left_anti").withColumn("_open", F.substring("_key", 1, prefix))

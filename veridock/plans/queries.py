@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veridock.functions import text as tx
-from veridock.functions.vector import dot, l2_normalised
-from veridock.operators import extraction, graph, selection, sections
+from veridock.operators import extraction, graph, modes, rows, selection, sections
 from veridock.operators.evidence import is_literal
+from veridock.operators.lineage import placed
 from veridock.plans import evaluation, gates
+from veridock.sources import stores
 from veridock.sources.files import pending
+from veridock.streaming import sessions
 from veridock.streaming.sessions import event_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,10 +56,9 @@ def s11_resume_anti_join(spark, sf):
     return pending(t(spark, sf, "documents").select("doc_id"), t(spark, sf, "labels"), "doc_id")
 
 
-@query("""SELECT conv_id, turn, CASE WHEN lower(trim(text)) = '' THEN false ELSE left(lower(trim(text)), 2) IN ('s','sí','si','y','ye','1','tr','ok') END AS yes FROM conversations""")
+@query("""SELECT conv_id, turn, CASE WHEN coalesce(lower(trim(text)), '') = '' THEN false ELSE left(lower(trim(text)), 2) IN ('s','sí','si','y','ye','1','tr','ok') END AS yes FROM conversations""")
 def t33_affirmative(spark, sf):
-    two = F.substring(F.lower(F.trim("text")), 1, 2)
-    return t(spark, sf, "conversations").select("conv_id", "turn", F.when(two == "", False).otherwise(two.isin("s", "sí", "si", "y", "ye", "1", "tr", "ok")).alias("yes"))
+    return t(spark, sf, "conversations").select("conv_id", "turn", rows.affirmative(F.col("text")).alias("yes"))
 
 
 @query("SELECT * FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank FROM documents) WHERE rank <= 5")
@@ -72,8 +73,8 @@ def f13_cases_with_reference(spark, sf):
 
 @query("SELECT doc_id, coalesce(CAST(quality AS VARCHAR), 'none') AS tier, coalesce(toxic, 0) AS hops FROM documents LEFT JOIN labels USING (doc_id)")
 def n4_default_fill(spark, sf):
-    d = t(spark, sf, "documents").select("doc_id").join(t(spark, sf, "labels"), "doc_id", "left")
-    return d.select("doc_id", F.coalesce(F.col("quality").cast("string"), F.lit("none")).alias("tier"), F.coalesce("toxic", F.lit(0)).alias("hops"))
+    d = t(spark, sf, "documents").select("doc_id").join(t(spark, sf, "labels"), "doc_id", "left").select("doc_id", F.col("quality").cast("string").alias("tier"), F.col("toxic").alias("hops"))
+    return rows.filled_defaults(d, {"tier": "none", "hops": 0}).select("doc_id", "tier", "hops")
 
 
 # joins
@@ -81,7 +82,7 @@ def n4_default_fill(spark, sf):
 
 @query(f"""
 WITH k AS (SELECT doc_id, {COLLAPSE} AS key FROM documents),
-q AS (SELECT item_id, {COLLAPSE} AS key FROM benchmark UNION ALL SELECT 1000000000 + doc_id, left(key, 150) FROM k),
+q AS (SELECT item_id, {COLLAPSE} AS key FROM benchmark UNION ALL SELECT 1000000000 + doc_id, key || CASE WHEN doc_id % 2 = 0 THEN ' …' ELSE '' END FROM k WHERE key IS NOT NULL),
 e AS (SELECT item_id, min(doc_id) AS doc_id, 'exact' AS how FROM q JOIN k USING (key) GROUP BY 1),
 o AS (SELECT left(key, 120) AS opening, min(doc_id) AS doc_id FROM k GROUP BY 1 HAVING count(*) = 1)
 SELECT * FROM e UNION ALL
@@ -90,17 +91,18 @@ SELECT q.item_id, o.doc_id, 'prefix' FROM q JOIN o ON left(q.key, 120) = o.openi
 def j1_text_lookup(spark, sf):
     """Texts to chunks: whole normalised text, else an opening that only one row has."""
     d = t(spark, sf, "documents")
-    own = d.select((1000000000 + F.col("doc_id")).alias("item_id"), F.substring(tx.collapse(F.col("text")), 1, 150).alias("text"))
+    own = d.select((1000000000 + F.col("doc_id")).alias("item_id"), F.concat(tx.collapse(F.col("text")), F.when(F.col("doc_id") % 2 == 0, " …").otherwise("")).alias("text"))
     asked = t(spark, sf, "benchmark").select("item_id", "text").unionByName(own)
     return selection.lookup_by_text(asked, d.select("doc_id", F.col("text").alias("own")), "text", "own", "doc_id").select("item_id", "doc_id", "how")
 
 
 @query("""
-WITH r AS (SELECT (conv_id * 7 + turn) % 1500 AS doc_id, row_number() OVER (ORDER BY conv_id, turn, role) AS pos FROM conversations)
+WITH r AS (SELECT conv_id * 7 + turn AS doc_id, row_number() OVER (ORDER BY conv_id, turn, role) AS pos FROM conversations)
 SELECT doc_id, min(pos) AS pos, any_value(source) AS source FROM r JOIN documents USING (doc_id) GROUP BY doc_id
 """)
 def j2_ids_to_rows(spark, sf):
-    r = t(spark, sf, "conversations").select(((F.col("conv_id") * 7 + F.col("turn")) % 1500).alias("doc_id"), F.row_number().over(Window.orderBy("conv_id", "turn", "role")).cast("long").alias("pos"))
+    order = [F.col("conv_id"), F.col("turn"), F.col("role")]
+    r = placed(t(spark, sf, "conversations").select("conv_id", "turn", "role"), order, "pos").select((F.col("conv_id") * 7 + F.col("turn")).alias("doc_id"), F.col("pos").cast("long").alias("pos"))
     return selection.ids_to_rows(r, t(spark, sf, "documents").select("doc_id", "source"), "doc_id", "pos")
 
 
@@ -118,25 +120,25 @@ def j6_similarity_self_join(spark, sf):
 @query("SELECT o_custkey, o_orderkey FROM orders SEMI JOIN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') c ON o_custkey = c_custkey")
 def j7_semi_join(spark, sf):
     c = t(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    return t(spark, sf, "orders").select("o_custkey", "o_orderkey").join(c, "o_custkey", "left_semi")
+    return rows.members_of(t(spark, sf, "orders").select("o_custkey", "o_orderkey"), c, "o_custkey")
 
 
 @query("""SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'no file' ELSE 'not listed' END AS why
 FROM documents d FULL OUTER JOIN (SELECT doc_id + 50 AS doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL""")
 def j10_manifest_bijection(spark, sf):
-    d, m = t(spark, sf, "documents").select("doc_id", F.lit(1).alias("file")), t(spark, sf, "labels").select((F.col("doc_id") + 50).alias("doc_id"), F.lit(1).alias("listed"))
-    return d.join(m, "doc_id", "full_outer").where("file IS NULL OR listed IS NULL").select("doc_id", F.when(F.col("file").isNull(), "no file").otherwise("not listed").alias("why"))
+    d, m = t(spark, sf, "documents").select("doc_id"), t(spark, sf, "labels").select((F.col("doc_id") + 50).alias("doc_id"))
+    return gates.bijection(d, m, "doc_id")
 
 
 @query(r"""
-WITH b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS token FROM benchmark),
-d AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS token FROM documents)
-SELECT token, count(*) AS n FROM d ANTI JOIN b USING (token) GROUP BY token HAVING count(*) >= 20
+WITH b AS (SELECT DISTINCT unnest(regexp_extract_all(strip_accents(lower(text)), '[a-zñ]+')) AS token FROM benchmark),
+d AS (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[a-zñ]+')) AS token FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS name, token, count(*) AS n FROM d ANTI JOIN b USING (token) WHERE token NOT IN ('figura', 'algoritmo', 'tabla', 'omitida', 'omitido', 'p', 'consultar', 'pdf', 'original') GROUP BY 1, 2
 """)
 def j9_token_oracle(spark, sf):
-    words = lambda d: F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("token")
-    known = t(spark, sf, "benchmark").select(words("b")).distinct()
-    return t(spark, sf, "documents").select(words("d")).join(known, "token", "left_anti").groupBy("token").agg(F.count("*").alias("n")).where("n >= 20")
+    """Words of each document that the benchmark's texts, as everyone's reference, don't have."""
+    b = t(spark, sf, "benchmark").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("reference"))  # a few dozen short rows
+    return gates.unknown_words(t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("name"), F.col("text").alias("markdown")).join(F.broadcast(b)))
 
 
 # aggregates
@@ -158,35 +160,31 @@ def a1_priority_dedup(spark, sf):
 SELECT left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 120) AS opening, count(*) AS n, min(doc_id) AS first_id
 FROM documents GROUP BY 1 HAVING count(*) > 1""")
 def a6_shared_openings(spark, sf):
-    return t(spark, sf, "documents").groupBy(F.substring(tx.collapse(F.col("text")), 1, 120).alias("opening")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+    return rows.shared_openings(t(spark, sf, "documents"), "text", "doc_id")
 
 
-@query("SELECT source, max_by(doc_id, n_chars * 1000000 - doc_id) AS longest, max(n_chars) AS n_chars FROM documents GROUP BY source")
+@query("""WITH r AS (SELECT source, doc_id, trim(text) AS label, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS n FROM documents WHERE text IS NOT NULL)
+SELECT source, label, doc_id AS at FROM r WHERE n = 1""")
 def a10_longest_form(spark, sf):
-    return t(spark, sf, "documents").groupBy("source").agg(F.max_by("doc_id", F.col("n_chars") * 1000000 - F.col("doc_id")).alias("longest"), F.max("n_chars").alias("n_chars"))
+    return rows.longest_form(t(spark, sf, "documents").where("text IS NOT NULL"), "source", "text", "doc_id")
 
 
 @query("SELECT lang, min(n_chars) AS least, median(n_chars) AS middle, avg(n_chars) AS mean, max(n_chars) AS most, count(*) AS n FROM documents GROUP BY lang")
 def a16_chunk_stats(spark, sf):
-    return t(spark, sf, "documents").groupBy("lang").agg(F.min("n_chars").alias("least"), F.median("n_chars").alias("middle"), F.avg("n_chars").alias("mean"), F.max("n_chars").alias("most"), F.count("*").alias("n"))
+    return rows.size_stats(t(spark, sf, "documents"), "lang", "n_chars")
 
 
-@query("""
-WITH n AS (SELECT source, doc_id, n_chars, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 0) - n_chars AS around FROM documents)
-SELECT source, CAST(sum(around) AS BIGINT) AS tokens, sum(around) * 0.15 / 1000000 AS cost FROM n GROUP BY source""")
+@query("SELECT count(*) AS chunks, CAST(sum(n_chars) AS BIGINT) AS tokens, sum(n_chars) * 0.13 / 1000000 AS cost FROM documents")
 def a17_cost_estimate(spark, sf):
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(-1, 1)
-    d = t(spark, sf, "documents").select("source", (F.sum("n_chars").over(w) - F.col("n_chars")).alias("around"))
-    return d.groupBy("source").agg(F.sum("around").alias("tokens"), (F.sum("around") * 0.15 / 1000000).alias("cost"))
+    return stores.embedding_cost(t(spark, sf, "documents").withColumnRenamed("n_chars", "n_tokens"), 0.13)
 
 
 @query("""
-WITH s AS (SELECT o_custkey, sum(o_totalprice) AS x FROM orders GROUP BY 1)
+WITH s AS (SELECT o_custkey, CAST(sum(o_totalprice) AS DOUBLE) AS x FROM orders GROUP BY 1)
 SELECT o_custkey, CASE WHEN max(x) OVER () = min(x) OVER () THEN 1.0 ELSE round(0.1 + 0.9 * (x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()), 6) END AS scaled FROM s""")
 def a24_rescale(spark, sf):
-    s = t(spark, sf, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("x"))
-    b = s.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    return s.join(F.broadcast(b)).select("o_custkey", F.when(F.col("hi") == F.col("lo"), 1.0).otherwise(F.round(0.1 + 0.9 * (F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")), 6)).alias("scaled"))
+    s = t(spark, sf, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").cast("double").alias("scaled")).withColumn("all", F.lit(0))
+    return modes.rescaled(s, ["all"], "scaled").select("o_custkey", F.round("scaled", 6).alias("scaled"))
 
 
 @query("""
@@ -220,15 +218,15 @@ def w1_neighbour_texts(spark, sf):
     return sections.neighbours(d, "source", "doc_id", "k").select("doc_id", "neighbours")
 
 
-@query("""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
-s AS (SELECT doc_id, length(line) AS n, sum(CASE WHEN length(line) < 40 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS sec FROM l)
-SELECT doc_id, CAST(sec AS BIGINT) AS sec, CAST(sum(n) AS BIGINT) AS n_chars FROM s GROUP BY 1, 2""")
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS sec FROM documents)
+SELECT doc_id, sec, CASE WHEN sec = 0 THEN 1 ELSE 3 END AS level, CASE WHEN sec = 0 THEN 'Preámbulo' ELSE '2.' || sec || '. Tema' END AS heading, CASE WHEN sec = 0 THEN 'Preámbulo' ELSE '2.' || sec || '. Tema' END AS path,
+  CASE WHEN sec > 0 THEN '2.' || sec END AS section_number, regexp_replace(line, '^\s+|\s+$', '', 'g') AS body FROM l WHERE sec > 0 OR regexp_replace(line, '^\s+|\s+$', '', 'g') <> ''""")
 def w3_section_ids(spark, sf):
-    l = t(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    s = l.select("doc_id", F.length("line").alias("n"), F.sum(F.when(F.length("line") < 40, 1).otherwise(0)).over(w).alias("sec"))
-    return s.groupBy("doc_id", "sec").agg(F.sum("n").alias("n_chars"))
+    """Every line of a text under a heading of its own."""
+    md = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit("### 2."), i.cast("string"), F.lit(". Tema\n"), x))), "\n")
+    own = sections.sections(t(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", md.alias("text")))
+    return own.select("doc_id", F.col("sec").cast("long").alias("sec"), F.col("level").cast("int").alias("level"), "heading", F.array_join("breadcrumb", ">").alias("path"), "section_number", "body")
 
 
 @query("""
@@ -241,14 +239,15 @@ def w4_fill_down(spark, sf):
 
 
 @query("""
-WITH t AS (SELECT conv_id, turn, length(text) AS n, sum(CASE WHEN length(text) % 5 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS patient, lag(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations)
-SELECT conv_id, turn, previous, max_by(n, turn) OVER (PARTITION BY conv_id, patient ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS latest, count(*) OVER (PARTITION BY conv_id, patient ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS known FROM t""")
+WITH t AS (SELECT conv_id, turn, text, length(text) AS n FROM conversations),
+p AS (SELECT *, n % 3 AS a, sum(CASE WHEN n % 5 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS patient, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM t)
+SELECT conv_id, turn, previous, """ + ", ".join(f"last_value(CASE WHEN a = {i} THEN n END IGNORE NULLS) OVER w AS k{i}" for i in range(3)) + """ FROM p
+WINDOW w AS (PARTITION BY conv_id, patient ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def w11_session_facts(spark, sf):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    own = t(spark, sf, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("n"))
-    own = own.withColumns({"patient": F.sum((F.col("n") % 5 == 0).cast("int")).over(w), "previous": F.lag("n").over(w)})
-    p = Window.partitionBy("conv_id", "patient").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return own.select("conv_id", "turn", "previous", F.max_by("n", "turn").over(p).alias("latest"), F.count("*").over(p).alias("known"))
+    n = F.length("text").cast("long")
+    turns = t(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), "turn", F.col("text").alias("question"), F.concat(F.lit("k"), (n % 3).cast("string")).alias("attr"), n.cast("string").alias("value"), (n % 5 == 0).alias("reset"))
+    own = sessions.session_facts(turns)
+    return own.select(F.col("session_id").cast("long").alias("conv_id"), "turn", "previous", *[F.element_at("facts", F.lit(f"k{i}")).cast("long").alias(f"k{i}") for i in range(3)])
 
 
 # ranking
@@ -259,10 +258,9 @@ WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_inner_product(CAST(
 FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
 def r1_dense_top_k(spark, sf):
-    e = t(spark, sf, "embeddings").select("vec_id", l2_normalised(F.col("embedding")).alias("v"))
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    s = e.join(q, F.lit(True)).select("query_id", "vec_id", F.round(dot(F.col("qv"), F.col("v")), 6).alias("score"))
-    return selection.top_per_group(s, ["query_id"], [F.col("score").desc(), F.col("vec_id")], 5)
+    e = t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    found = graph.dense_top_k(e, e.where("id % 20 = 0"), 5)
+    return found.select(F.col("query").alias("query_id"), F.col("id").alias("vec_id"), "score", "rank")
 
 
 BM25 = r"""
@@ -279,9 +277,8 @@ r AS (SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTI
 
 
 def _bm25(spark, sf):
-    index = selection.postings(t(spark, sf, "documents"), "doc_id", "text")
-    q = t(spark, sf, "benchmark").select("item_id", "text")
-    s = selection.bm25(index, q, "doc_id", "item_id", "text").withColumn("score", F.round("score", 6))
+    d, q = t(spark, sf, "documents").select("doc_id", "text"), t(spark, sf, "benchmark").select("item_id", "text")
+    s = selection.bm25(d, q, "doc_id", "item_id", "text").withColumn("score", F.round("score", 6))
     return selection.top_per_group(s, ["item_id"], [F.col("score").desc(), F.col("doc_id")], 30)
 
 
@@ -290,17 +287,42 @@ def v8_bm25_top_k(spark, sf):
     return _bm25(spark, sf).select("item_id", "doc_id", "score", "rank")
 
 
-@query(BM25 + """, a AS (SELECT item_id, doc_id, rank FROM r WHERE rank <= 30),
-c AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY n_chars DESC, doc_id) AS rank FROM a JOIN documents USING (doc_id)),
-u AS (SELECT item_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM c) GROUP BY 1, 2)
-SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM u) WHERE rank <= 10""")
+COSINE = "round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) / sqrt(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) / sqrt(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))), 6)"
+HYBRID = BM25 + f""", g AS (SELECT doc_id FROM documents WHERE source IS NULL OR source = '' OR source = 'src3'),
+v AS (SELECT q.vec_id AS item_id, e.vec_id AS doc_id, {COSINE} AS score FROM embeddings q JOIN benchmark ON item_id = q.vec_id JOIN embeddings e ON true WHERE e.vec_id IN (SELECT doc_id FROM g)),
+h AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM v
+  UNION ALL SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) FROM r WHERE doc_id IN (SELECT doc_id FROM g)),
+u AS (SELECT item_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM h WHERE rank <= 30 GROUP BY 1, 2),
+y AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM u)
+"""
+
+
+def _hybrid(spark, sf, k):
+    """Dense hits (the vectors of questions and documents are those of their ids) and BM25 hits, each in scope before it is cut, fused."""
+    d, q = t(spark, sf, "documents"), t(spark, sf, "benchmark")
+    e = t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    scope = d.select("doc_id", F.col("source").alias("specialty"))
+    inside = e.join(scope.where(selection.in_scope(F.col("specialty"), "src3")).select(F.col("doc_id").alias("id")), "id", "left_semi")
+    dense = graph.dense_top_k(inside, e.join(q.select(F.col("item_id").alias("id")), "id", "left_semi"), 30).select(F.col("query").alias("item_id"), F.col("id").alias("doc_id"), "score")
+    sparse = selection.bm25(d.select("doc_id", "text"), q.select("item_id", "text"), "doc_id", "item_id", "text").withColumn("score", F.round("score", 6))
+    return selection.hybrid(dense, sparse, "item_id", "doc_id", k, scope, "src3").select("item_id", "doc_id", "score", "rank")
+
+
+@query(HYBRID + "SELECT * FROM y WHERE rank <= 10")
 def r2_hybrid_rrf(spark, sf):
-    """Two ranked branches fused by reciprocal ranks."""
-    a = _bm25(spark, sf).select("item_id", "doc_id", "rank")
-    c = a.drop("rank").join(t(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
-    c = c.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.col("n_chars").desc(), "doc_id"))).drop("n_chars")
-    u = selection.rrf([a, c], "doc_id", "rank", ["item_id"]).withColumn("score", F.round("score", 9))
-    return selection.top_per_group(u, ["item_id"], [F.col("score").desc(), F.col("doc_id")], 10).select("item_id", "doc_id", "score", "rank")
+    return _hybrid(spark, sf, 10)
+
+
+@query(HYBRID + r""", x AS (SELECT y.item_id, y.doc_id, y.rank, list_distinct(string_split(trim(regexp_replace(strip_accents(lower(b.text)), '[^a-z0-9]+', ' ', 'g')), ' ')) AS bw, list_distinct(string_split(trim(regexp_replace(strip_accents(lower(d.text)), '[^a-z0-9]+', ' ', 'g')), ' ')) AS dw
+  FROM y JOIN benchmark b USING (item_id) JOIN documents d ON d.doc_id = y.doc_id WHERE rank <= 20),
+z AS (SELECT item_id, doc_id, CAST(len(list_filter(list_intersect(bw, dw), lambda x: x <> '')) AS INTEGER) AS score, rank FROM x),
+o AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, rank) AS place FROM z)
+SELECT * FROM o WHERE place <= 5""")
+def r6_baseline_shot(spark, sf):
+    """Hybrid candidates ranked anew by the words they share with the question, over whole texts."""
+    found = _hybrid(spark, sf, 20).join(t(spark, sf, "documents").select("doc_id", "text"), "doc_id").join(t(spark, sf, "benchmark").select("item_id", F.col("text").alias("question")), "item_id")
+    own = selection.rerank(found.where("rank <= 20"), "item_id", "question", "text", selection.shared_words, ["rank"], 5, chars=1 << 24)
+    return own.select("item_id", "doc_id", "score", "place")
 
 
 @query("""
@@ -331,8 +353,7 @@ def v5_content_id(spark, sf):
 
 @query(r"""SELECT doc_id, list_distinct_ordered FROM (SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[0-9]+'))), ',') AS list_distinct_ordered FROM documents)""")
 def t21_numbers(spark, sf):
-    n = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))))
-    return t(spark, sf, "documents").select("doc_id", F.array_join(n, ",").alias("list_distinct_ordered"))
+    return t(spark, sf, "documents").select("doc_id", F.array_join(rows.figures_of(F.col("text")), ",").alias("list_distinct_ordered"))
 
 
 @query(r"""
@@ -387,15 +408,27 @@ def g3_flow_paths(spark, sf):
     return graph.flow_paths(e, seeds).select(F.array_join("nodes", ">").alias("path"), F.round("flow", 6).alias("flow"))
 
 
-@query(GEO + """
+RANK = GEO + """
 m AS (SELECT node, 1.0 / count(*) OVER () AS mass FROM seeds),
-n AS (SELECT DISTINCT src AS node FROM b),
-r0 AS (SELECT node, coalesce(mass, 0.0) AS mass, coalesce(mass, 0.0) AS rank FROM n LEFT JOIN m USING (node)),
-""" + ",\n".join(f"r{i + 1} AS MATERIALIZED (SELECT r.node, r.mass, 0.85 * coalesce(g.got, 0) + (0.85 * (1 - (SELECT sum(r{i}.rank / d.degree) FROM r{i} JOIN b ON b.src = r{i}.node JOIN d ON d.node = r{i}.node)) + 0.15) * r.mass AS rank FROM r{i} r LEFT JOIN (SELECT b.dst AS node, sum(r{i}.rank / d.degree) AS got FROM r{i} JOIN b ON b.src = r{i}.node JOIN d ON d.node = r{i}.node GROUP BY 1) g USING (node))" for i in range(4)) + "\nSELECT node, round(rank, 9) AS rank FROM r4")
-def g5_pagerank(spark, sf):
+n AS (SELECT node, count(*) OVER () AS nodes FROM (SELECT DISTINCT src AS node FROM b)),
+w AS (SELECT b.src, b.dst, d.degree FROM b JOIN d ON d.node = b.src),
+r AS (SELECT 0 AS i, node, CAST(1.0 AS DOUBLE) / nodes AS rank FROM n
+  UNION ALL SELECT i + 1, w.dst, 0.85 * sum(r.rank / w.degree) + 0.15 * coalesce(any_value(m.mass), 0) FROM r JOIN w ON w.src = r.node LEFT JOIN m ON m.node = w.dst WHERE i < 100 GROUP BY i, w.dst),
+c AS (SELECT a.i, sum(abs(a.rank - o.rank)) AS change FROM r a JOIN r o ON o.node = a.node AND o.i = a.i - 1 GROUP BY a.i),
+s AS (SELECT min(i) AS i FROM c WHERE change < 1e-6 * (SELECT max(nodes) FROM n))
+SELECT node, round(rank, 9) AS rank FROM r JOIN s USING (i)"""
+
+
+def _pagerank(spark, sf):
+    """PageRank of the places, as far as the reference's tolerance."""
     e, seeds = _geo(spark, sf)
     n = seeds.agg(F.count("*").alias("n"))
-    return graph.pagerank(e, seeds.join(F.broadcast(n)).select("node", (1.0 / F.col("n")).alias("mass")), rounds=4).select("node", F.round("rank", 9).alias("rank"))
+    return graph.converged_pagerank(e, seeds.join(F.broadcast(n)).select("node", (1.0 / F.col("n")).alias("mass"))).select("node", F.round("rank", 9).alias("rank"))
+
+
+@query(RANK)
+def g5_pagerank(spark, sf):
+    return _pagerank(spark, sf)
 
 
 # more text, rows and sets
@@ -408,8 +441,8 @@ def n1_page_projection(spark, sf):
 
 @query("""SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id ORDER BY turn, role) AS n, string_agg(role, ',') OVER (PARTITION BY conv_id ORDER BY turn, role) AS roles FROM conversations""")
 def w14_provenance_numbers(spark, sf):
-    w = Window.partitionBy("conv_id").orderBy("turn", "role").rowsBetween(Window.unboundedPreceding, 0)
-    return t(spark, sf, "conversations").select("conv_id", "turn", F.count("*").over(w).alias("n"), F.array_join(F.collect_list("role").over(w), ",").alias("roles"))
+    own = rows.numbered(t(spark, sf, "conversations"), "conv_id", ["turn", "role"], "role")
+    return own.select("conv_id", "turn", "n", F.col("upto").alias("roles"))
 
 
 @query("""WITH o AS (SELECT source, doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n_chars AS later FROM documents)

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veridock.functions import labels
-from veridock.functions.vector import dot
-from veridock.operators import graph, modes, sections
+from veridock.operators import graph, modes, rows, sections
+from veridock.operators.lineage import placed
 from veridock.plans import control
-from veridock.plans.queries import BM25, GEO, SQL, _bm25, _edges, _geo, query, t
+from veridock.plans.queries import BM25, SQL, _bm25, _edges, _geo, _pagerank, query, t
 
 # labels and rendered blocks
 
@@ -31,9 +31,9 @@ def t23_section_label(spark, sf):
 
 
 @query(r"""SELECT doc_id, CAST(len(u) AS INTEGER) AS units, coalesce(list_sum(list_transform(u, lambda x: length(x))), 0) AS chars FROM (
-SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda b: regexp_replace(b, '^\s+|\s+$', '', 'g')), lambda b: length(b) >= 40 AND NOT starts_with(b, '#')) AS u FROM documents WHERE text IS NOT NULL AND text NOT LIKE '%|%' AND text NOT LIKE '%«%')""")
+SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda b: regexp_replace(b, '^\s+|\s+$', '', 'g')), lambda b: length(b) >= 40 AND NOT starts_with(b, '#')) AS u FROM documents WHERE text IS NOT NULL)""")
 def t31_coverage_units(spark, sf):
-    d = t(spark, sf, "documents").where("text IS NOT NULL AND NOT contains(text, '|') AND NOT contains(text, '«')")
+    d = t(spark, sf, "documents").where("text IS NOT NULL")
     units = labels.coverage_units(F.col("text"))
     return d.select("doc_id", F.size(units).alias("units"), F.aggregate(units, F.lit(0).cast("long"), lambda n, x: n + F.length(x)).alias("chars"))
 
@@ -70,24 +70,26 @@ def w6_pack_budget(spark, sf):
 
 @query("""SELECT conv_id, turn, role, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, role) AS previous FROM conversations""")
 def w12_previous_question(spark, sf):
-    return t(spark, sf, "conversations").select("conv_id", "turn", "role", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", "role")).alias("previous"))
+    return rows.with_previous(t(spark, sf, "conversations"), "conv_id", ["turn", "role"], "text").select("conv_id", "turn", "role", "previous")
 
 
 # retrieval modes
 
 
 @query("""
-WITH s AS (SELECT e.vec_id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings e ON q.vec_id < 3),
-b AS (SELECT vec_id, max(score) AS score FROM s GROUP BY 1),
-k AS (SELECT vec_id, score, vec_id % 50 AS concept, row_number() OVER (PARTITION BY vec_id % 50 ORDER BY score DESC, vec_id) AS n FROM b),
-r AS (SELECT vec_id, concept, score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM k WHERE n = 1)
-SELECT vec_id, concept, rank, round(CASE WHEN max(score) OVER () = min(score) OVER () THEN 1.0 ELSE 0.1 + 0.9 * (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END, 6) AS score FROM r WHERE rank <= 40""")
+WITH s AS (SELECT q.vec_id % 60 AS q, e.vec_id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0),
+b AS (SELECT q, vec_id, max(score) AS score FROM s GROUP BY 1, 2),
+k AS (SELECT q, vec_id, score, vec_id % 50 AS concept, row_number() OVER (PARTITION BY q, vec_id % 50 ORDER BY score DESC, vec_id) AS n FROM b),
+r AS (SELECT q, vec_id, concept, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM k WHERE n = 1),
+l AS (SELECT * FROM r WHERE rank <= 40)
+SELECT q, vec_id, concept, rank, round(CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE 0.1 + 0.9 * (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS score FROM l WINDOW w AS (PARTITION BY q)""")
 def a8_distinct_concepts(spark, sf):
-    e = t(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    q = e.where("vec_id < 3").select(F.col("v").alias("qv"))  # three keywords
-    s = e.join(F.broadcast(q)).select(F.lit(0).alias("q"), "vec_id", F.round(dot(F.col("qv"), F.col("v")), 6).alias("score"))
+    """Three questions whose keywords are every twentieth vector."""
+    e = t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    n = e.count()  # every score is wanted: the best of each vector over a question's keywords
+    s = graph.dense_top_k(e, e.where("id % 20 = 0"), n, unit=False).select((F.col("query") % 60).alias("q"), F.col("id").alias("vec_id"), "score")
     got = modes.distinct_concepts(s, "q", "vec_id", F.col("vec_id") % 50, "score")
-    return modes.rescaled(got, ["q"], "score").select("vec_id", "concept", "rank", F.round("score", 6).alias("score"))
+    return modes.rescaled(got, ["q"], "score").select("q", "vec_id", "concept", "rank", F.round("score", 6).alias("score"))
 
 
 @query("""
@@ -121,35 +123,31 @@ def a11_reset_mass(spark, sf):
 
 @query(f"SELECT substr(node, 2) AS node, rank FROM ({SQL['g5_pagerank']}) WHERE node LIKE 'S%' ORDER BY rank DESC, node LIMIT 20")
 def r8_rank_passages(spark, sf):
-    e, seeds = _geo(spark, sf)
-    n = seeds.agg(F.count("*").alias("n"))
-    rank = graph.pagerank(e, seeds.join(F.broadcast(n)).select("node", (1.0 / F.col("n")).alias("mass")), rounds=4)
-    return modes.get_mode("hipporag")(rank.withColumn("rank", F.round("rank", 9)), "S")
+    return modes.get_mode("hipporag")(_pagerank(spark, sf), "S")
 
 
 @query("""
 WITH e AS (SELECT DISTINCT o_custkey AS src, 1000000 + l_suppkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
-h AS (SELECT c_nationkey AS q, c_custkey AS node, c_custkey % 7 AS score FROM customer WHERE c_custkey % 10 = 0),
+h AS (SELECT c_nationkey AS q, c_custkey AS node, c_custkey % 7 AS score FROM customer),
 k AS (SELECT q, score, dst - 1000000 AS a, src AS b FROM h JOIN e ON src = node UNION ALL SELECT n_nationkey, 9, dst - 1000000, src FROM nation JOIN e ON src = n_nationkey + 1),
 c AS (SELECT q, 'a' || a AS chunk_id, score FROM k UNION ALL SELECT q, 'b' || b, score FROM k),
 g AS (SELECT q, chunk_id, max(score) AS score FROM c GROUP BY 1, 2)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, chunk_id) AS rank FROM g) WHERE rank <= 20""")
 def g6_traverse(spark, sf):
     e = _edges(spark, sf).distinct().withColumn("sources", F.concat(F.lit("a"), F.col("dst") - 1000000, F.lit("<SEP>b"), F.col("src")))
-    h = t(spark, sf, "customer").where("c_custkey % 10 = 0").select(F.col("c_nationkey").alias("q"), F.col("c_custkey").alias("node"), (F.col("c_custkey") % 7).alias("score"))
+    h = t(spark, sf, "customer").select(F.col("c_nationkey").alias("q"), F.col("c_custkey").alias("node"), (F.col("c_custkey") % 7).alias("score"))
     n = t(spark, sf, "nation").select(F.col("n_nationkey").alias("q"), (F.col("n_nationkey") + 1).alias("src"), F.lit(9).alias("score")).join(e.select("src", "dst"), "src")
     return modes.get_mode("graph")(h, n, e, "q")
 
 
 @query("""
 WITH n AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS no FROM orders),
-p AS (SELECT no, [o_custkey, o_orderkey + 1000000, o_custkey + 1] AS nodes FROM n WHERE no <= 10),
+p AS (SELECT no, [o_custkey, o_orderkey + 1000000, o_custkey + 1] AS nodes FROM n),
 s AS (SELECT no, unnest(['n' || nodes[1], 'x' || nodes[1] % 4, 'e' || nodes[1], 'n' || nodes[2], 'x' || nodes[2] % 4, 'e' || nodes[3], 'n' || nodes[3], 'x' || nodes[3] % 4]) AS chunk_id, unnest(range(8)) AS i FROM p),
 f AS (SELECT chunk_id, min(no * 100 + i) AS o FROM s GROUP BY 1)
 SELECT chunk_id, row_number() OVER (ORDER BY o) AS place FROM f ORDER BY o LIMIT 20""")
 def r11_path_chunks(spark, sf):
-    o = t(spark, sf, "orders").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(10)
-    o = o.withColumn("path_no", F.row_number().over(Window.orderBy(F.col("o_totalprice").desc(), "o_orderkey")))
+    o = placed(t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], "path_no")
     paths = o.select("path_no", F.array(F.col("o_custkey").cast("long"), F.col("o_orderkey").cast("long") + 1000000, F.col("o_custkey").cast("long") + 1).alias("nodes"))
     each = paths.select("nodes").withColumn("node", F.explode("nodes"))
     nodes = each.select("node").distinct().withColumn("sources", F.concat(F.lit("n"), "node", F.lit("<SEP>x"), F.col("node") % 4))
@@ -202,10 +200,10 @@ def r12_question_cap(spark, sf):
     return t(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.array_join(control.capped_questions(F.split("text", r"\.")), "|").alias("asked"))
 
 
-@query(r"""SELECT conv_id, turn, role, CASE WHEN trim(coalesce(text, '')) <> '' THEN 'q' || conv_id || chr(10) || regexp_replace(text, '^[\s\x0B\x85\p{Z}]+|[\s\x0B\x85\p{Z}]+$', '', 'g') || ' ' || role END AS focus FROM conversations WHERE trim(coalesce(text, '')) <> '' OR role IS NULL""")
+@query(r"""SELECT conv_id, turn, role, CASE WHEN trim(coalesce(text, '')) <> '' THEN 'q' || conv_id || chr(10) || regexp_replace(text, '^[\s\x0B\x85\p{Z}]+|[\s\x0B\x85\p{Z}]+$', '', 'g') || ' ' || role END AS focus FROM conversations """)
 def p12_refocus(spark, sf):
-    c = t(spark, sf, "conversations").where("trim(coalesce(text, '')) <> '' OR role IS NULL")
-    return c.select("conv_id", "turn", "role", control.refocus_query(F.concat(F.lit("q"), F.col("conv_id").cast("string")), F.array(F.col("text"), F.lit(" "), F.col("role"))).alias("focus"))
+    c = t(spark, sf, "conversations")
+    return c.select("conv_id", "turn", "role", control.refocus_query(F.concat(F.lit("q"), F.col("conv_id").cast("string")), F.array(F.col("text"), F.lit(" "), F.when(F.trim(F.coalesce("text", F.lit(""))) != "", F.col("role")))).alias("focus"))
 
 
 @query("""
@@ -225,8 +223,8 @@ def a25_false_rejections(spark, sf):
 
 @query("""SELECT lang, avg(quality) AS quality, avg(toxic) AS toxic, avg(n_chars) AS n_chars FROM labels JOIN documents USING (doc_id) GROUP BY lang""")
 def a23_tier_means(spark, sf):
-    rows = t(spark, sf, "labels").join(t(spark, sf, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
-    return rows.groupBy("lang").agg(*[F.avg(c).alias(c) for c in ("quality", "toxic", "n_chars")])
+    own = t(spark, sf, "labels").join(t(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    return rows.group_means(own, t(spark, sf, "documents"), "doc_id", "lang", ["quality", "toxic", "n_chars"])
 
 
 @query(r"""WITH h AS (SELECT page_id, regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)</h[1-6]>', 1) AS heads FROM pages WHERE html IS NOT NULL) SELECT page_id, CAST(len(heads) AS BIGINT) AS sections FROM h WHERE len(heads) > 0""")

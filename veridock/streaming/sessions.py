@@ -13,15 +13,16 @@ STATE = "session_id string, turn long, question string, previous string, facts m
 
 
 def session_facts(turns: DataFrame) -> DataFrame:
-    """turns(session_id, turn, question, attr, value, reset) with the previous question and, per attribute, the last value since the last reset.
-
-    One row per turn and attribute known at it.
+    """turns(session_id, turn, question, attr, value, reset) with the previous question and `facts`: per attribute the last value since the last
+    reset (a turn's own reset comes before its fact). What stream_facts() gives for a stream, row for row.
     """
     w = Window.partitionBy("session_id").orderBy("turn")
-    own = turns.withColumns({"patient": F.sum(F.col("reset").cast("int")).over(w), "previous": F.lag("question").over(w)})
+    own = turns.withColumns({"patient": F.sum(F.coalesce(F.col("reset"), F.lit(False)).cast("int")).over(w), "previous": F.lag("question").over(w)})
     p = Window.partitionBy("session_id", "patient").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    known = F.collect_list(F.struct("attr", "value")).over(p)
-    return own.withColumn("facts", known)
+    known = F.collect_list(F.when(F.coalesce("attr", F.lit("")) != "", F.struct("attr", "value"))).over(p)
+    # of each attribute the last entry: taken from the right, the first one met
+    last = F.aggregate(F.reverse(known), F.create_map().cast("map<string,string>"), lambda m, x: F.when(F.map_contains_key(m, x["attr"]), m).otherwise(F.map_concat(F.map_from_arrays(F.array(x["attr"]), F.array(x["value"])), m)))
+    return own.withColumn("facts", last).drop("patient")
 
 
 def _merge(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
