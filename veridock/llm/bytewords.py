@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 
@@ -62,6 +62,30 @@ def groups_of(texts: Sequence, limit: int = 1 << 20) -> Iterator[tuple[int, int]
         yield at, len(texts)
 
 
+class Recent:
+    """What was made of each of the last `size` to 2 * size distinct byte strings, or fewer if they are long. Strings that keep coming stay."""
+
+    def __init__(self, make: Callable[[list[bytes]], Iterable], size: int = 200_000, most_bytes: int = 8 << 20):
+        self.make, self.size, self.most_bytes = make, size, most_bytes
+        self.new: dict[bytes, object] = {}
+        self.old: dict[bytes, object] = {}
+        self.held = 0
+
+    def of(self, keys: list[bytes]) -> Iterator:
+        """The value of each key, in order."""
+        missing = set(keys).difference(self.new)
+        if missing:
+            if len(self.new) + len(missing) > self.size or self.held > self.most_bytes:
+                self.old, self.new, self.held = self.new, {}, 0
+                missing = set(keys)
+            known = missing.intersection(self.old)
+            self.new.update((k, self.old[k]) for k in known)
+            fresh = list(missing - known)
+            self.new.update(zip(fresh, self.make(fresh), strict=True))
+            self.held += sum(map(len, missing))
+        return map(self.new.__getitem__, keys)
+
+
 class Table:
     """Hash table from 64-bit keys to rows of small integers or floats, looked up and filled by whole arrays."""
 

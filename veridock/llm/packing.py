@@ -13,15 +13,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import groups_of
+from .bytewords import Recent, groups_of
 from .common import text_or_empty
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 CAPACITY, END_ID = 4096, 2
 #: Sequence ids: the task's partition above, a count within the task below.
 PER_TASK = 1 << 34
-#: Texts tokenised at once, in characters; words kept in a worker's table, and their bytes.
-AT_ONCE, MOST_WORDS, MOST_BYTES = 1 << 19, 300_000, 16 << 20
+#: Texts tokenised at once, in characters.
+AT_ONCE = 1 << 19
 
 #: ASCII letters and digits; ASCII marks but the apostrophe of contractions; all else that isn't white space.
 _WORD, _MARK, _GLUE = rb"[0-9A-Za-z]", rb"[!-&(-/:-@\[-`{-~]", rb"[\x00-\x08\x0e-\x1f'\x7f-\xff]"
@@ -43,29 +43,12 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.bytes = 0
-        self.first = np.zeros(1, np.int64)  # part i has ids[first[i]:first[i + 1]]
-        self.ids = np.zeros(0, np.uint32)
-
-    def _learn(self, words: list[bytes]) -> None:
-        new = list(set(words).difference(self.place))
-        if not new:
-            return
-        if len(self.place) + len(new) > MOST_WORDS or self.bytes + sum(map(len, new)) > MOST_BYTES:
-            self._clear()
-            new = list(set(words))
-        fresh = []
-        for i in range(0, len(new), 4096):
-            got = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new[i : i + 4096]], add_special_tokens=False)
-            fresh += [np.array(x.ids, np.uint32) for x in got]
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-        self.bytes += sum(map(len, new))
-        self.first = np.r_[self.first, self.first[-1] + np.cumsum([len(x) for x in fresh])]
-        self.ids = np.concatenate([self.ids, *fresh])
+        self.parts = Recent(self._ids)
+
+    def _ids(self, parts: list[bytes]) -> Iterator[bytes]:
+        for i in range(0, len(parts), 4096):
+            for x in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in parts[i : i + 4096]], add_special_tokens=False):
+                yield np.array(x.ids, "<u4").tobytes()
 
     def _encode(self, texts: list[str], marks: bool) -> list[np.ndarray]:
         words: list[bytes] = []
@@ -74,13 +57,8 @@ class WordIds:
             raw = t.encode("utf-8")
             words += PART.findall(raw.lower()) if marks else raw.split()
             upto.append(len(words))
-        self._learn(words)
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        n = self.first[at + 1] - self.first[at]
-        before = np.r_[0, np.cumsum(n)]
-        flat = self.ids[np.repeat(self.first[at] - before[:-1], n) + np.arange(before[-1])]
-        bounds = before[upto].tolist()
-        return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        ids = list(self.parts.of(words))
+        return [np.frombuffer(b"".join(ids[a:b]), "<u4") for a, b in zip(upto[:-1], upto[1:], strict=True)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         special = [i for i, t in enumerate(texts) if "<|" in t]

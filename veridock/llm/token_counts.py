@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -11,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import groups_of
+from .bytewords import Recent, groups_of
 from .common import text_or_empty
 
 END = "<|endoftext|>"
@@ -128,29 +129,21 @@ class Counter:
     """Token counts of whole texts. Pre-tokens are edges of the transducer, annotated with the number of tokens they emit; an edge is
     compiled (by the library, on that pre-token alone) when it is first met, and kept by its bytes."""
 
-    #: Edges that are kept at once, and their bytes; the table is emptied beyond that.
-    MOST_EDGES, MOST_BYTES = 300_000, 16 << 20
-
     def __init__(self, path: str, kinds: np.ndarray | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kinds = Tokenizer.from_file(path), classes(path) if kinds is None else kinds
-        self.emits: dict[bytes, int] = {}
-        self.bytes = 0
+        self.emits = Recent(self._compiled)
+
+    def _compiled(self, edges: list[bytes]) -> Iterator[int]:
+        for i in range(0, len(edges), 4096):
+            for x in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in edges[i : i + 4096]], add_special_tokens=False):
+                yield len(x.ids)
 
     def _emitted(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         edges = [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-        new = list(set(edges).difference(self.emits))
-        if new and (len(self.emits) + len(new) > self.MOST_EDGES or self.bytes + sum(map(len, new)) > self.MOST_BYTES):
-            self.emits, self.bytes = {}, 0
-            new = list(set(edges))
-        for i in range(0, len(new), 4096):
-            own = new[i : i + 4096]
-            got = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in own], add_special_tokens=False)
-            self.emits.update(zip(own, (len(x.ids) for x in got), strict=True))
-            self.bytes += sum(map(len, own))
-        return np.fromiter(map(self.emits.__getitem__, edges), np.int64, len(edges))
+        return np.fromiter(self.emits.of(edges), np.int64, len(edges))
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text. The special string is one token, and texts are read apart on either side of it."""
