@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 
@@ -62,30 +62,6 @@ def groups_of(texts: Sequence, limit: int = 1 << 20) -> Iterator[tuple[int, int]
         yield at, len(texts)
 
 
-class Recent:
-    """What was made of each of the last `size` to 2 * size distinct byte strings, or fewer if they are long. Strings that keep coming stay."""
-
-    def __init__(self, make: Callable[[list[bytes]], Iterable], size: int = 200_000, most_bytes: int = 8 << 20):
-        self.make, self.size, self.most_bytes = make, size, most_bytes
-        self.new: dict[bytes, object] = {}
-        self.old: dict[bytes, object] = {}
-        self.held = 0
-
-    def of(self, keys: list[bytes]) -> Iterator:
-        """The value of each key, in order."""
-        missing = set(keys).difference(self.new)
-        if missing:
-            if len(self.new) + len(missing) > self.size or self.held > self.most_bytes:
-                self.old, self.new, self.held = self.new, {}, 0
-                missing = set(keys)
-            known = missing.intersection(self.old)
-            self.new.update((k, self.old[k]) for k in known)
-            fresh = list(missing - known)
-            self.new.update(zip(fresh, self.make(fresh), strict=True))
-            self.held += sum(map(len, missing))
-        return map(self.new.__getitem__, keys)
-
-
 class Table:
     """Hash table from 64-bit keys to rows of small integers or floats, looked up and filled by whole arrays."""
 
@@ -124,3 +100,62 @@ class Table:
             done[take] = True
             left = left[~done[left]]
             slot[left] = np.where(self.used[slot[left]], (slot[left] + 1) & ((1 << self.bits) - 1), slot[left])
+
+
+class Known:
+    """Numbers distinct byte strings as they are first met. Hashes find a string's place, and its bytes are compared with what is kept there, so strings
+    that share a hash stay apart. Beyond `most` strings or `most_bytes` bytes it begins anew."""
+
+    def __init__(self, most: int = 700_000, most_bytes: int = 12 << 20):
+        self.most, self.most_bytes = most, most_bytes
+        self.clear()
+
+    def clear(self) -> None:
+        self.table, self.n, self.used = Table(np.int32), 0, 0
+        self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.arena = np.zeros(1 << 20, np.uint8)
+
+    def _keep(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Places of new strings."""
+        size = ends - starts
+        while self.n + len(size) > len(self.size):
+            self.begin, self.size = np.r_[self.begin, np.zeros_like(self.begin)], np.r_[self.size, np.zeros_like(self.size)]
+        while self.used + size.sum() > len(self.arena):
+            self.arena = np.r_[self.arena, np.zeros_like(self.arena)]
+        places = np.arange(self.n, self.n + len(size))
+        self.begin[places], self.size[places] = self.used + np.cumsum(size) - size, size
+        self.arena[self.used : self.used + size.sum()] = data[_within(starts, size)]
+        self.n, self.used = self.n + len(size), self.used + int(size.sum())
+        return places
+
+    def places(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        """(place of each of sorted spans that aren't empty, indices of spans that got new places, in the order of those, whether it began anew)."""
+        keys, size, anew = span_hashes(data, starts, ends), ends - starts, False
+        slot, hit = self.table.find(keys)
+        fresh = np.zeros(0, np.int64)
+        if not hit.all():
+            left = np.flatnonzero(~hit)
+            _, first = np.unique(keys[left], return_index=True)
+            fresh = left[first]
+            if self.n + len(fresh) > self.most or self.used + size[fresh].sum() > self.most_bytes:
+                self.clear()
+                anew, fresh = True, np.unique(keys, return_index=True)[1]
+            self.table.add(keys[fresh], self._keep(data, starts[fresh], ends[fresh]).astype(np.int32))
+            slot, _ = self.table.find(keys)
+        at = self.table.values[slot].astype(np.int64)
+        other = self.size[at] != size
+        same = np.flatnonzero(~other)
+        if len(same):
+            differs = data[_within(starts[same], size[same])] != self.arena[_within(self.begin[at[same]], size[same])]
+            if differs.any():
+                other[same] |= np.logical_or.reduceat(differs, np.cumsum(size[same]) - size[same])
+        if other.any():  # strings that share another one's hash have places that no hash leads to
+            odd = np.flatnonzero(other)
+            at[odd] = self._keep(data, starts[odd], ends[odd])
+            fresh = np.r_[fresh, odd]
+        return at, fresh, anew
+
+
+def _within(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """starts[i] .. starts[i] + size[i] - 1 for each i, in a row."""
+    return np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(size.sum())

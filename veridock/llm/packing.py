@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import Recent, groups_of
+from .bytewords import Known, groups_of
 from .common import text_or_empty
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -23,11 +23,12 @@ PER_TASK = 1 << 34
 #: Texts tokenised at once, in characters.
 AT_ONCE = 1 << 19
 
-#: ASCII letters and digits; ASCII marks but the apostrophe of contractions; all else that isn't white space.
-_WORD, _MARK, _GLUE = rb"[0-9A-Za-z]", rb"[!-&(-/:-@\[-`{-~]", rb"[\x00-\x08\x0e-\x1f'\x7f-\xff]"
-_RUN = b"(?:" + _WORD + b"++|" + _MARK + b"++)"
-#: A part: no letter or digit stands directly beside a mark in it.
-PART = re.compile(_GLUE + b"*+" + _RUN + b"(?:" + _GLUE + b"++" + _RUN + b")*+" + _GLUE + b"*+|" + _GLUE + b"++")
+SPACE_BYTE, WORD_BYTE, MARK_BYTE, GLUE_BYTE = range(4)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+#: White space; ASCII letters and digits; ASCII marks but the apostrophe of contractions; all else.
+_KIND = np.full(256, GLUE_BYTE, np.uint8)
+_KIND[:128] = [SPACE_BYTE if c in (32, *range(9, 14)) else WORD_BYTE if chr(c).isalnum() else GLUE_BYTE if chr(c) == "'" or c < 32 or c == 127 else MARK_BYTE for c in range(128)]
 
 
 class WordIds:
@@ -43,22 +44,43 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts = Recent(self._ids)
-
-    def _ids(self, parts: list[bytes]) -> Iterator[bytes]:
-        for i in range(0, len(parts), 4096):
-            for x in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in parts[i : i + 4096]], add_special_tokens=False):
-                yield np.array(x.ids, "<u4").tobytes()
+        self.known = Known()
+        self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)  # part i has ids[first[i]:first[i + 1]]
+
+    def _places(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        at, fresh, anew = self.known.places(data, starts, ends)
+        if anew:
+            self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        if len(fresh):
+            raw, made = data.tobytes(), []
+            words = [raw[s:e].decode("utf-8") for s, e in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)]
+            for i in range(0, len(words), 4096):
+                made += [x.ids for x in self.tokenizer.encode_batch_fast(words[i : i + 4096], add_special_tokens=False)]
+            self.first = np.r_[self.first, self.first[-1] + np.cumsum([len(x) for x in made])]
+            self.ids = np.r_[self.ids, np.fromiter(chain.from_iterable(made), np.uint32)]
+        return at
 
     def _encode(self, texts: list[str], marks: bool) -> list[np.ndarray]:
-        words: list[bytes] = []
-        upto = [0]
-        for t in texts:
-            raw = t.encode("utf-8")
-            words += PART.findall(raw.lower()) if marks else raw.split()
-            upto.append(len(words))
-        ids = list(self.parts.of(words))
-        return [np.frombuffer(b"".join(ids[a:b]), "<u4") for a, b in zip(upto[:-1], upto[1:], strict=True)]
+        encoded = [t.encode("utf-8") for t in texts]
+        data = np.frombuffer(b"\n".join(encoded) + b"\n", np.uint8)
+        data = _LOWER[data] if marks else data
+        kind = _KIND[data]
+        inside = kind != SPACE_BYTE
+        border = np.ones(len(data), bool)
+        border[1:] = inside[1:] != inside[:-1]
+        if marks:
+            border[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] != GLUE_BYTE) & (kind[:-1] != GLUE_BYTE)
+        edges = np.flatnonzero(border)
+        ends = np.r_[edges[1:], len(data)]
+        real = inside[edges]
+        starts, ends = edges[real], ends[real]
+        at = self._places(data, starts, ends)
+        n = self.first[at + 1] - self.first[at]
+        before = np.r_[0, np.cumsum(n)]
+        flat = self.ids[np.repeat(self.first[at] - before[:-1], n) + np.arange(before[-1])]
+        upto = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in encoded]))
+        bounds = np.r_[0, before[upto]].tolist()
+        return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         special = [i for i, t in enumerate(texts) if "<|" in t]

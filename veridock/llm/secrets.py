@@ -79,10 +79,19 @@ FEATURES = int(OFFSETS[-1])
 PIECE = 1 << 20
 
 
+#: Features whose weights are added up beforehand, one table for all their combinations, so that a token takes few lookups.
+FUSED = ((0, 4), (1, 2, 3), (5, 6, 7), (8, 9, 10, 11), (12, 13, 14, 15), (16,), (17,), (18, 19, 20))
+
+
 class Tokens(NamedTuple):
     start: np.ndarray  # first byte
     end: np.ndarray
-    feats: np.ndarray  # tokens x len(SIZES): rows of the weights
+    columns: list[np.ndarray]  # a value of each feature per token
+
+    @property
+    def feats(self) -> np.ndarray:
+        """tokens x len(SIZES): rows of the weights."""
+        return (np.stack(self.columns, axis=1) + OFFSETS[:-1]).astype(np.int32) if len(self.start) else np.zeros((0, len(SIZES)), np.int32)
 
 
 def _word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -105,16 +114,24 @@ def tokens_of(data: np.ndarray, file: tuple[int, int, int], last: int = 0, follo
     turn = np.diff(inside)
     start, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
     if not len(start):
-        return Tokens(start, end, np.zeros((0, len(SIZES)), np.int32))
+        return Tokens(start, end, [start] * len(SIZES))
     kind = _KIND[data]
     change = np.zeros(len(data), np.int32)
     change[1:] = kind[1:] != kind[:-1]
     run = lambda mask: np.r_[0, np.cumsum(mask, dtype=np.int32)]
-    sums = {name: run(mask) for name, mask in (("digit", kind == 1), ("upper", kind == 2), ("lower", kind == 3), ("wide", kind == 4), ("mark", kind == 5), ("hex", _HEX[data]))}
-    n = end - start
-    count = {name: s[end] - s[start] for name, s in sums.items()}
-    switches = np.cumsum(change)[end - 1] - np.cumsum(change)[start]
-    marks = {c: run(data == ord(c))[end] - run(data == ord(c))[start] for c in ".-/@_"}
+    n = (end - start).astype(np.int32)
+    count = {}
+    for name, mask in (("digit", kind == 1), ("upper", kind == 2), ("lower", kind == 3), ("wide", kind == 4), ("mark", kind == 5), ("hex", _HEX[data])):
+        sums = run(mask)
+        count[name] = sums[end] - sums[start]
+    changes = np.cumsum(change, dtype=np.int32)
+    switches = changes[end - 1] - changes[start]
+    # marks are rare, so they are counted where they are rather than summed up over all bytes
+    spots = np.flatnonzero(kind == 5)
+    owner = np.searchsorted(start, spots, side="right") - 1
+    spots, owner = spots[owner >= 0], owner[owner >= 0]
+    spots, owner = spots[spots < end[owner]], owner[spots < end[owner]]
+    marks = {c: np.bincount(owner[data[spots] == ord(c)], minlength=len(start)) for c in ".-/@_"}
     words = _word_hash(data, start, end)
     before = np.r_[last, words[:-1]]
     after = np.r_[words[1:], following]
@@ -126,7 +143,7 @@ def tokens_of(data: np.ndarray, file: tuple[int, int, int], last: int = 0, follo
         8 * (marks["@"] > 0) + 4 * (marks["_"] > 0) + 2 * ((count["digit"] > 0) & (count["upper"] + count["lower"] > 0)) + (switches >= 6),
         before, after, *(np.full(len(n), x) for x in file),
     ]
-    return Tokens(start, end, (np.stack(columns, axis=1) + OFFSETS[:-1]).astype(np.int32))
+    return Tokens(start, end, columns)
 
 
 def file_features(data: bytes) -> tuple[int, int, int]:
@@ -159,7 +176,7 @@ def text_tokens(data: bytes) -> Iterator[tuple[int, Tokens]]:
 
 #: Tokens that are read at once, from each label; O is never followed by I.
 CHUNK = 32
-BARRED = -1e9
+BARRED = -1e6
 
 
 class Crf:
@@ -168,6 +185,7 @@ class Crf:
     def __init__(self, emit: np.ndarray | None = None, move: np.ndarray | None = None):
         self.emit = np.zeros((FEATURES, 2)) if emit is None else emit
         self.move = np.zeros((3, 3)) if move is None else move
+        self._tables: list[np.ndarray] | None = None
 
     def potentials(self, feats: np.ndarray) -> np.ndarray:
         """tokens x labels."""
@@ -176,6 +194,23 @@ class Crf:
             out[:, 1:] += self.emit[column]
         return out
 
+    def fused(self, own: Tokens) -> np.ndarray:
+        """potentials() by one lookup for each group of FUSED, in single precision."""
+        if self._tables is None:
+            self._tables = []
+            for group in FUSED:
+                table = np.zeros((1, 2))
+                for f in group:
+                    table = (table[:, None] + self.emit[None, OFFSETS[f] : OFFSETS[f + 1]]).reshape(-1, 2)
+                self._tables.append(table.astype(np.float32))
+        out = np.zeros((len(own.start), 3), np.float32)
+        for group, table in zip(FUSED, self._tables, strict=True):
+            at = own.columns[group[0]]
+            for f in group[1:]:
+                at = at * SIZES[f] + own.columns[f]
+            out[:, 1:] += table[at]
+        return out
+
     @property
     def steps(self) -> np.ndarray:
         move = self.move.copy()
@@ -188,28 +223,31 @@ class Crf:
         Chunks are read side by side, each from every label, which gives its matrix of best sums; the matrices compose in a prefix scan (their product takes
         maxima of sums), and a second reading from each chunk's true start leaves the pointers.
         """
-        move, n = self.steps, len(own)
+        move, n = self.steps.astype(own.dtype), len(own)
         rows = -(-n // CHUNK)
-        padded = np.zeros((rows * CHUNK, 3))
+        padded = np.zeros((rows * CHUNK, 3), own.dtype)
         padded[:n] = own
         grid = padded.reshape(rows, CHUNK, 3)
-        maps = np.full((rows, 3, 3), BARRED)
-        maps[:, range(3), range(3)] = 0.0
         full = rows - (n % CHUNK > 0)  # the last chunk's matrix isn't needed
+        maps = np.full((full, 3, 3), BARRED, own.dtype)
+        maps[:, range(3), range(3)] = 0.0
         for t in range(CHUNK):
-            maps[:full] = (maps[:full, :, :, None] + move).max(axis=2) + grid[:full, t, None, :]
+            via = [maps[:, :, k, None] + move[k] for k in range(3)]
+            maps = np.maximum(np.maximum(via[0], via[1]), via[2]) + grid[:full, t, None, :]
         reach = 1
         while reach < full:
-            maps[reach:full] = (maps[: full - reach, :, :, None] + maps[reach:full, None, :, :]).max(axis=2)
+            via = [maps[: full - reach, :, k, None] + maps[reach:, k, None, :] for k in range(3)]
+            maps[reach:] = np.maximum(np.maximum(via[0], via[1]), via[2])
             reach *= 2
-        sums = np.empty((rows, 3))
+        sums = np.empty((rows, 3), own.dtype)
         sums[0] = before
-        sums[1:] = (before[None, :, None] + maps[: rows - 1]).max(axis=1)
+        sums[1:] = (np.asarray(before, own.dtype)[None, :, None] + maps[: rows - 1]).max(axis=1)
         back, at_end = np.empty((rows, CHUNK, 3), np.uint8), sums
         for t in range(CHUNK):
-            options = sums[:, :, None] + move
-            back[:, t] = options.argmax(axis=1)
-            sums = options.max(axis=1) + grid[:, t]
+            via = [sums[:, k, None] + move[k] for k in range(3)]
+            most = np.maximum(via[0], via[1])
+            back[:, t] = np.where(via[2] > most, 2, via[1] > via[0])
+            sums = np.maximum(most, via[2]) + grid[:, t]
             if t == (n - 1) % CHUNK:
                 at_end = sums
         return back.reshape(-1, 3)[:n], at_end[-1]
@@ -253,7 +291,7 @@ class Crf:
                 last = int(back[0][out[-1][0]])
         return out[::-1]
 
-    def train(self, data: list[tuple[np.ndarray, np.ndarray]], rounds: int = 60, rate: float = 0.15, decay: float = 3e-4) -> Crf:
+    def train(self, data: list[tuple[np.ndarray, np.ndarray]], rounds: int = 40, rate: float = 0.15, decay: float = 3e-4) -> Crf:
         """Fits to (features, labels) of whole sequences: gradient of the log-likelihood by forward and backward sums over all sequences side by side, with
         Adam's steps (Kingma and Ba, 2015), in a fixed order."""
         if not data:
@@ -394,7 +432,7 @@ def _lessons(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 #: Bound of what the field is trained on: documents with a base span, and others (smallest hashes of their ids); at most 11 snippets of some 200 characters each.
-TRAIN_DOCS = 600
+TRAIN_DOCS = 400
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Crf:
@@ -416,7 +454,7 @@ def field_spans(model: Crf, data: bytes) -> list[tuple[int, int]]:
     cuts, potentials = [], []
     for at, own in text_tokens(data):
         cuts.append((at + own.start.astype(np.int64), at + own.end.astype(np.int64)))
-        potentials.append(model.potentials(own.feats))
+        potentials.append(model.fused(own))
     return joined_spans(cuts, model.tags(potentials))
 
 
@@ -438,9 +476,9 @@ def many_spans(model: Crf, encoded: list[bytes]) -> list[list[tuple[int, int]]]:
     """field_spans() of many short texts, read as one: between two texts stands a token that can only be O."""
     own = [tokens_of(np.frombuffer(d, np.uint8), file_features(d)) for d in encoded]
     sizes = np.array([len(t.start) for t in own])
-    potentials = model.potentials(np.concatenate([t.feats for t in own]))
+    potentials = np.concatenate([model.fused(t) for t in own])
     at = np.repeat(np.arange(len(own)), sizes) + np.arange(sizes.sum())
-    spaced = np.tile([0.0, BARRED, BARRED], (sizes.sum() + len(own), 1))
+    spaced = np.tile(np.array([0.0, BARRED, BARRED], np.float32), (sizes.sum() + len(own), 1))
     spaced[at] = potentials
     tags = np.split(model.tags([spaced])[0][at], np.cumsum(sizes)[:-1])
     return [joined_spans([(t.start, t.end)], [x]) for t, x in zip(own, tags, strict=True)]

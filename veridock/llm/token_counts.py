@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -12,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import Recent, groups_of
+from .bytewords import Known, groups_of
 from .common import text_or_empty
 
 END = "<|endoftext|>"
@@ -134,16 +133,19 @@ class Counter:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kinds = Tokenizer.from_file(path), classes(path) if kinds is None else kinds
-        self.emits = Recent(self._compiled)
-
-    def _compiled(self, edges: list[bytes]) -> Iterator[int]:
-        for i in range(0, len(edges), 4096):
-            for x in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in edges[i : i + 4096]], add_special_tokens=False):
-                yield len(x.ids)
-
-    def _emitted(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        edges = [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-        return np.fromiter(self.emits.of(edges), np.int64, len(edges))
+        self.known, self.emits = Known(), np.zeros(0, np.int64)
+
+    def _emitted(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        at, fresh, anew = self.known.places(data, starts, ends)
+        if anew:
+            self.emits = np.zeros(0, np.int64)
+        if len(fresh):
+            raw, made = data.tobytes(), [self.emits]
+            edges = [raw[s:e].decode("utf-8") for s, e in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)]
+            for i in range(0, len(edges), 4096):
+                made.append(np.array([len(x.ids) for x in self.tokenizer.encode_batch_fast(edges[i : i + 4096], add_special_tokens=False)], np.int64))
+            self.emits = np.concatenate(made)
+        return self.emits[at]
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text. The special string is one token, and texts are read apart on either side of it."""
@@ -175,7 +177,7 @@ class Counter:
             stop = kinds[at_char] == STOP
             n = np.zeros(len(at), np.int64)
             starts, ends = at, np.r_[at[1:], len(data)]
-            n[~stop] = self._emitted(raw, starts[~stop], ends[~stop])
+            n[~stop] = self._emitted(data, starts[~stop], ends[~stop])
             text = np.searchsorted(ends_of, at_char)
             np.add.at(total, owner[a:b], np.bincount(text, n, b - a).astype(np.int64))
         return total
