@@ -257,7 +257,7 @@ def p14_guards_and_plans(spark, sf):
     k = F.col("c_nationkey") % 4
     plan = F.when(k > 0, F.struct((F.col("c_custkey") % 3 == 0).alias("multi_hop"), F.array(F.lit(" "), F.col("c_mktsegment"), F.lit("b"), F.lit("c "), F.lit("d")).alias("queries")))
     verdict = F.when(k < 3, F.struct((k != 1).alias("sufficient"), F.concat(F.lit(" "), F.col("c_mktsegment")).alias("next")))
-    error = F.when(k == 2, F.struct(F.lit("ValueError").alias("type"), F.col("c_mktsegment").alias("message"))).when(k == 3, F.struct(F.lit("GraphInterrupt"), F.lit("ask")))
+    error = F.when(k == 2, F.struct(F.lit("ValueError").alias("type"), F.coalesce("c_mktsegment", F.lit("")).alias("message"))).when(k == 3, F.struct(F.lit("GraphInterrupt").alias("type"), F.lit("ask").alias("message")))
     g = control.guarded(F.col("c_name"), error, "retrieve")
     return t(spark, sf, "customer").select("c_custkey", F.array_join(control.hop_plan(F.col("c_name"), plan), "|").alias("plan"), control.reflection(verdict).alias("next"), *[g[c].alias(c) for c in ("value", "failed_step", "technical_detail")])
 
