@@ -499,16 +499,72 @@ def test_warc(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_pipeline_runs_whole(spark):
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """run() on a fixture with planted toxic documents, exact copies and near copies, each stage's effect worked out by itself."""
     import corpus_pipeline
 
-    sf = "/root/testdata/sf0.001"
-    own = spark.read.parquet(f"{sf}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, own, sf)
-        assert after.columns == own.columns, name
-    packed = corpus_pipeline.run(spark, sf).collect()
-    per = defaultdict(int)
-    for r in packed:
-        per[r["sequence_id"]] += r["length"]
-    assert packed and max(per.values()) <= 4096
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6))) for _ in range(400)]
+    rows, labels, toxic = [], [], set()
+    for i in range(360):
+        w = [rng.choice(words) for _ in range(rng.randint(40, 120))]
+        if i % 4 == 0:
+            toxic.add(i)
+            for _ in range(8):
+                w.insert(rng.randrange(len(w)), rng.choice(["awful", "vile"]))
+        rows.append((i, " ".join(w), "en", f"s{i % 3}", 0))
+        labels.append((i, i % 2, int(i % 4 == 0)))
+    clean = [r for r in rows if r[0] not in toxic]
+    for k, r in enumerate(clean[:40]):  # copies with other white space, and near copies with one word of many changed
+        rows.append((1000 + k, r[1].replace(" ", "  ", 3), "en", "s0", 0))
+    for k, r in enumerate(x for x in clean[40:120] if len(x[1].split()) >= 100):
+        w = r[1].split()
+        w[50] = "changed"
+        rows.append((2000 + k, " ".join(w), "en", "s1", 0))
+    rows += [(3000, None, "en", "s2", 0), (3001, "", "en", None, 0)]
+    sf = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+
+    want = [r for r in rows if r[0] not in toxic]
+    first = {}
+    for r in sorted(want):
+        first.setdefault(" ".join(re.split(r"[\x20\x09-\x0D]+", r[1] or "")), r)
+    want = sorted(first.values())
+    label = jaccard_components([r[1] for r in want])
+    want = [r for i, r in enumerate(want) if label[i] is None or i == min(j for j, x in enumerate(label) if x == label[i])]
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for (name, stage), known in zip(corpus_pipeline.STAGES[:3], ({r[0] for r in rows if r[0] not in toxic}, {r[0] for r in first.values()}, {r[0] for r in want}), strict=True):
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        assert Counter(r["doc_id"] for r in out.collect()) == Counter(known), name
+        docs = spark.createDataFrame([r for r in rows if r[0] in known], docs.schema)
+
+    size = {r[0]: len((r[1] or "").split()) for r in want}
+    source = {r[0]: r[3] for r in want}
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    t = Tokenizer.from_file(WORDS)
+    ids = {r[0]: np.array([*t.encode(r[1] or "", add_special_tokens=False).ids, 2], np.uint32) for r in want}
+    for r in corpus_pipeline.run(spark, sf).collect():
+        assert r["ids_crc32"] == crc32(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes())
+        pieces[r["doc_id"]].append((r["start"], r["length"]))
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    copies = {i: sum(n for _, n in p) / len(ids[i]) for i, p in pieces.items()}
+    assert set(copies) <= set(ids) and all(x in (1, 2, 3) for x in copies.values())
+    total = defaultdict(int)
+    for i, n in size.items():
+        total[source[i]] += n
+    order = sorted(total, key=lambda s: (s is None, s or ""))
+    weight, capped = {s: (1, 2, 3)[k % 3] for k, s in enumerate(order)}, set()
+    while True:
+        left = sum(total.values()) - sum(3 * total[s] for s in capped)
+        target = {s: 3 * total[s] if s in capped else left * weight[s] / sum(weight[x] for x in order if x not in capped) for s in order}
+        if not (more := {s for s in order if target[s] > 3 * total[s]}):
+            break
+        capped |= more
+    for s in order:
+        assert abs(sum(copies.get(i, 0) * n for i, n in size.items() if source[i] == s) - target[s]) <= max(size.values())
+    for parts in sequences.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [0, *np.cumsum([n for _, n in parts])[:-1].tolist()] and sum(n for _, n in parts) <= 4096

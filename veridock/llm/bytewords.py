@@ -106,7 +106,7 @@ class Known:
     """Numbers distinct byte strings as they are first met. Hashes find a string's place, and its bytes are compared with what is kept there, so strings
     that share a hash stay apart. Beyond `most` strings or `most_bytes` bytes it begins anew."""
 
-    def __init__(self, most: int = 700_000, most_bytes: int = 12 << 20):
+    def __init__(self, most: int = 500_000, most_bytes: int = 12 << 20):
         self.most, self.most_bytes = most, most_bytes
         self.clear()
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ CRLF = "\r\n"
 RECORD_END = CRLF * 2
 #: Fixed values of the WARC 1.1 standard.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: An archive is read as a whole, so its records are few enough to fit into this even if all are as long as the longest.
+ARCHIVE_BYTES = 256 << 20
 HTTP_HEAD = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -59,7 +62,11 @@ def resolve_revisits(pages: DataFrame, min_bytes: int = 100, broadcast_rows: int
     )
 
 
-def records(resolved: DataFrame, date: str = "1970-01-01T00:00:00Z"):
+def now() -> str:
+    return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def records(resolved: DataFrame, date: str):
     """The text of each WARC/1.1 record with fresh headers, without the record end that the writer adds."""
     revisit = F.col("record_type") == "revisit"
     body = F.when(revisit, F.lit("")).otherwise(F.concat(F.lit(HTTP_HEAD), F.col("payload")))
@@ -74,9 +81,9 @@ def records(resolved: DataFrame, date: str = "1970-01-01T00:00:00Z"):
     return resolved.select(F.concat(head, body).alias("value"))
 
 
-def write_archives(resolved: DataFrame, path: str, per_file: int = 2000, date: str = "1970-01-01T00:00:00Z") -> None:
-    """Deduplicated archives under path, at most per_file records each."""
-    records(resolved, date).write.option("lineSep", RECORD_END).option("maxRecordsPerFile", per_file).text(path)
+def write_archives(resolved: DataFrame, path: str, per_file: int = 2000, date: str | None = None) -> None:
+    """Deduplicated archives under path, at most per_file records each; date: of the records, by default that of writing."""
+    records(resolved, date or now()).write.option("lineSep", RECORD_END).option("maxRecordsPerFile", per_file).text(path)
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -120,7 +127,8 @@ def round_trip(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     """Writes the archives, reads them back, and returns what was read. The archives are deleted afterwards."""
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
-    write_archives(resolve_revisits(pages, min_bytes), path)
+    longest = pages.agg(F.max(F.octet_length(F.col("html").cast("string")))).first()[0] or 0
+    write_archives(resolve_revisits(pages, min_bytes), path, max(1, min(2000, ARCHIVE_BYTES // (longest + 4096))))
     out = cut(read_archives(spark, path))
     remove_path(spark, path)
     return out
