@@ -110,8 +110,10 @@ def test_gates(spark):
     c = spark.createDataFrame([("1", "w " * 1000, "text", 1000), ("2", "", "text", 0), ("3", "plain", "table", 3)], "chunk_id string, text string, content_type string, n_tokens int")
     found = {(r["code"], r["subject"]) for r in gates.chunk_gates(c).collect()}
     assert {("G1", "1"), ("G2", "2"), ("G10", "3"), ("G11", "3")} <= found
-    s = spark.createDataFrame([("a.md", "## T\n\nfuconazol ﬁ\n\nTabla 1. Dosis\n\ntexto _ _ sin datos\n\nTabla omitida", "fluconazol"), ("b.md", "x", None)], "name string, markdown string, reference string")
+    s = spark.createDataFrame([("a.md", "## T\n\nfuconazol ﬁ\n\n**Tabla 1. Dosis**\n\ntexto _ _ sin datos\n\n[Tabla omitida]", "fluconazol"), ("b.md", "x", None)], "name string, markdown string, reference string")
     found = {(r["code"], r["subject"]) for r in gates.source_gates(s, c.select(F.lit("a.md").alias("name"), "text"), spark.createDataFrame([("a.md",), ("c.md",)], "name string")).collect()}
+    ok = spark.createDataFrame([("c.md", "> _[Figura omitida — p. 42 — consultar PDF original]_", "x"), ("d.md", "> _[Tabla omitida — p. 42 — consultar PDF original]_", "x")], "name string, markdown string, reference string")
+    assert {r["subject"] for r in gates.omissions(ok).collect()} == {"d.md"}
     assert {("G4", "a.md"), ("G5", "a.md"), ("G5", "b.md"), ("G6", "a.md"), ("G7", "a.md"), ("G9", "b.md"), ("G9", "c.md")} <= found
     assert {r["code"]: r["passed"] for r in gates.rollup(gates.chunk_gates(c)).collect()}["G8"]
 
@@ -147,3 +149,58 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_chunks_carry_the_manifest(spark):
+    text = "# 3. Tema\n\n## 3.1. Uno\n\ncorto (A-II)\n\n## 3.2. Dos\n\notro"
+    docs = spark.createDataFrame([("d1", text), ("d2", "sin títulos")], "doc_id string, text string")
+    manifest = spark.createDataFrame([("d1", "Guía", "vih", ["a"], "org", 2024), ("d2", "Otra", "vih", [], "org", None)], "doc_id string, title string, specialty string, topics array<string>, organization string, year int")
+    got = {r["doc_id"]: r for r in sections.chunks(docs, manifest).collect()}
+    assert got["d1"]["section_number"] == "3" and got["d1"]["heading"] == "3. Tema" and got["d1"]["evidence_grades"] == ["A-II"]
+    assert got["d1"]["doc_title"] == "Guía" and got["d1"]["year"] == 2024 and got["d1"]["text_for_retrieval"].startswith("3. Tema\n\n")
+    assert got["d2"]["section_path"] == ["Otra"] and got["d2"]["text_for_retrieval"] == "Otra\n\nsin títulos"
+
+
+def test_facts_of_batch_and_merge_agree(spark):
+    rows = [("s", 1, "q1", "a", "1", False), ("s", 2, "q2", "a", "2", False), ("s", 3, "q3", "b", "3", False), ("s", 4, "q4", None, None, False), ("s", 5, "q5", "b", "4", True)]
+    got = session_facts(spark.createDataFrame(rows, "session_id string, turn long, question string, attr string, value string, reset boolean")).orderBy("turn").collect()
+    assert [r["facts"] for r in got] == [{"a": "1"}, {"a": "2"}, {"a": "2", "b": "3"}, {"a": "2", "b": "3"}, {"b": "4"}]
+    assert [r["previous"] for r in got] == [None, "q1", "q2", "q3", "q4"]
+
+
+def test_assembled_document(spark):
+    from veridock.operators import assembly
+
+    blocks = [("heading", "1. Tema", 2), ("heading_cont", "largo", None), ("text", "uno", None), ("text", "dos.", None), ("text", "tres", None), ("table", "| a |", None), ("heading", "Referencias", 2), ("text", "fuera.", None), ("heading", "1.1. Dentro", 3), ("heading", "2. Otro", 2), ("text", "fin", None), ("heading_cont", "negrita", None)]
+    b = spark.createDataFrame([("d", i, k, x, n) for i, (k, x, n) in enumerate(blocks)], "doc_id string, place int, kind string, text string, level int")
+    assert assembly.assembled(b).first()["markdown"] == "## 1. Tema largo\n\nuno dos.\n\ntres\n\n| a |\n\n## 2. Otro\n\nfin negrita\n"
+    cells = spark.createDataFrame([(1, ["A", "x"]), (2, ["", "y"]), (3, ["", ""]), (4, ["12", "z"]), (5, ["", "w"])], "n int, cells array<string>").withColumn("t", F.lit(1))
+    assert [r["filled"] for r in assembly.fill_cells(cells, "t", "n", "cells", [0]).orderBy("n").collect()] == [["A", "x"], ["A", "y"], ["", ""], ["12", "z"], ["", "w"]]
+
+
+def test_stores(spark, tmp_path):
+    from veridock.sources import stores
+
+    rows = lambda *x: spark.createDataFrame(list(x), "id string, v int")
+    path = str(tmp_path / "points")
+    stores.upsert_points(spark, path, rows(("a", 1), ("b", 2)))
+    for _ in range(2):
+        stores.upsert_points(spark, path, rows(("b", 3), ("c", 4)))
+        assert {tuple(r) for r in spark.read.parquet(path).collect()} == {("a", 1), ("b", 3), ("c", 4)}
+    out = str(tmp_path / "done")
+    assert stores.append_pending(spark, out, rows(("a", 1), ("b", 2)), "id", lambda d: d, "id string, v int") == 2
+    assert stores.append_pending(spark, out, rows(("b", 2), ("c", 3)), "id", lambda d: d, "id string, v int") == 1
+    assert spark.read.json(out).count() == 3
+    graph_path = str(tmp_path / "graph")
+    stores.write_graph(graph_path, rows(("a", 1)), rows(("a", 1)), rows(("a", 1)), {"dim": 4})
+    assert set(stores.read_graph(spark, graph_path, 4)) == {"nodes", "edges", "vectors"}
+    with pytest.raises(ValueError):
+        stores.read_graph(spark, graph_path, 5)
+
+
+def test_pagerank_on_disk_and_in_memory_agree(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (2, 4)], "src long, dst long")
+    reset = spark.createDataFrame([(1, 0.5), (9, 0.5)], "node long, mass double")
+    small = {r["node"]: r["rank"] for r in graph.converged_pagerank(edges, reset, tol=1e-3).collect()}
+    large = {r["node"]: r["rank"] for r in graph.converged_pagerank(edges, reset, tol=1e-3, in_memory=0).collect()}
+    assert small.keys() == large.keys() == {1, 2, 3, 4, 9} and all(abs(small[k] - large[k]) < 1e-12 for k in small)

@@ -90,14 +90,21 @@ def fill_cells(rows: DataFrame, table: str, order: str, cells: str, columns: lis
     """Labels of declared columns carried down into empty cells of rows that have something in another column; numbers and grades are values and are never carried."""
     w = Window.partitionBy(table).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     others = F.exists(F.transform(F.col(cells), lambda c, i: (c != "") & ~i.isin(*columns)), lambda x: x)
-    out = F.col(cells)
+    values = {}
     for c in columns:
         own = F.trim(F.get(cells, F.lit(c)))
         label = F.when(own != "", F.when(own.rlike(r"\d") | own.rlike(r"\b[ABC]\s*-?\s*I{1,3}\b"), "").otherwise(F.get(cells, F.lit(c))))
         carried = F.coalesce(F.last(label, ignorenulls=True).over(w), F.lit(""))
-        value = F.when((own == "") & others, carried).otherwise(F.get(cells, F.lit(c)))
-        out = F.transform(out, lambda x, i, c=c, value=value: F.when(i == c, value).otherwise(x))
-    return rows.withColumn("filled", out)
+        values[c] = F.when((own == "") & others, carried).otherwise(F.get(cells, F.lit(c)))
+    new = F.struct(*[v.alias(f"c{c}") for c, v in values.items()])
+
+    def cell(x, i):
+        out = x
+        for c in columns:
+            out = F.when(i == c, F.col("_new")[f"c{c}"]).otherwise(out)
+        return out
+
+    return rows.withColumn("_new", new).withColumn("filled", F.transform(cells, cell)).drop("_new") if columns else rows.withColumn("filled", F.col(cells))
 
 
 def written_documents(documents: DataFrame) -> Column:
