@@ -378,6 +378,58 @@ def test_toxicity(spark, docs, none):
     assert toxicity.toxicity(none, lab).count() == 0
 
 
+def test_toxicity_model_by_brute_force(spark):
+    """Every word's difference, from plain counts without cut-offs: discounted bigrams, backed off to discounted continuations, backed off to the words of all documents."""
+    rng = random.Random(8)
+    words, rows, labels = ["".join(rng.choice("abcdef") for _ in range(4)) for _ in range(14)], [], {}
+    for i in range(300):
+        bad = i % 3 == 0
+        w = [rng.choice(words) for _ in range(rng.randint(10, 70))]
+        for _ in range(4 * bad):
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = ["Very", rng.choice(["awful", "vile"])]
+        rows.append((i, " ".join(w)))
+        if i % 10 != 1:
+            labels[i] = int(bad)
+    rows += [(1000 + i, "never labelled " + rng.choice(words)) for i in range(50)]
+    d, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    model = toxicity.train(d, lab)
+
+    split = {i: t.lower().split() for i, t in rows}
+    bigrams, everywhere = (Counter(), Counter()), Counter(w for t in split.values() for w in t)
+    for i, toxic in labels.items():
+        if crc32(str(i).encode()) % 5 in (1, 2, 3):
+            bigrams[toxic].update(zip([None, *split[i]], split[i]))
+    followed = tuple(Counter(w for _, w in c) for c in bigrams)
+    left = lambda n, least: max(n - max(least, toxicity.SPREAD * n**0.5), 0)
+    mass = [sum(left(n, toxicity.SMALL_WORD) for n in f.values()) for f in followed]
+    after = [defaultdict(int), defaultdict(int)]
+    kept = [defaultdict(float), defaultdict(float)]
+    for c, counted in enumerate(bigrams):
+        for (ctx, _), n in counted.items():
+            after[c][ctx] += n
+            kept[c][ctx] += left(n, toxicity.SMALL_BIGRAM)
+    assert all(mass) and any(kept[0].values()) and any(kept[1].values())
+
+    def likelihood(c, ctx, w):
+        shared = everywhere[w] / sum(everywhere.values()) * (1 - toxicity.UNIFORM) + toxicity.UNIFORM / (len(everywhere) + 1)
+        base = (1 - toxicity.SHARED) * left(followed[c][w], toxicity.SMALL_WORD) / mass[c] + toxicity.SHARED * shared
+        room = after[c][ctx] + toxicity.STRENGTH
+        return left(bigrams[c][ctx, w], toxicity.SMALL_BIGRAM) / room + (room - kept[c][ctx]) / room * base
+
+    def features(text):
+        own = text.lower().split()
+        diffs = [np.log(likelihood(1, ctx, w) / likelihood(0, ctx, w)) for ctx, w in zip([None, *own], own)]
+        strong, n = sum(x for x in diffs if x > toxicity.STRONG), max(1, len(own))
+        return [sum(diffs) / n, strong / n, strong / n**0.5]
+
+    texts = [t for _, t in rows] + ["", "words unheard of", "very " * 500]
+    want = np.array([features(t) for t in texts])
+    np.testing.assert_allclose(model.features(texts), want, rtol=1e-3, atol=1e-5)
+    got = {r["doc_id"]: r["score"] for r in toxicity.with_score(d, model).collect()}
+    np.testing.assert_allclose([got[i] for i, _ in rows], toxicity.logistic(model.weights, want[: len(rows)]), atol=1e-3)
+
+
 def test_secrets(docs, none):
     got = secrets.secret_scan(docs, secrets.Crf())
     want = Counter()
