@@ -378,6 +378,20 @@ def test_toxicity(spark, docs, none):
     assert toxicity.toxicity(none, lab).count() == 0
 
 
+def test_toxicity_words_counted_by_chance_arent_strong():
+    """Of words that both classes have, one that is just over the cut-off in one class and not in the other says little; one that only toxic texts have says much."""
+    import pandas as pd
+
+    words = pd.DataFrame([(i, 1000, 1000, 100_000) for i in range(1, 1001)] + [(2001, 5, 4, 200), (2002, 4, 5, 200), (2003, 3000, 0, 8500)], columns=["word", "toxic", "ordinary", "n"])
+    none = pd.DataFrame([], columns=["ctx", "word", "key", "toxic", "ordinary", "ctx_toxic", "ctx_ordinary"], dtype="int64")
+    model = toxicity.fit(none, words, int(words["n"].sum()), 2_000_000)
+    slot, known = model.words.find(np.array([2001, 2002, 2003], np.uint64))
+    assert known.all()
+    by_chance, against, toxic = model.words.values[slot, 1]
+    assert 0 < by_chance < toxicity.STRONG / 2 and -toxicity.STRONG / 2 < against < 0
+    assert toxic > 2 * toxicity.STRONG
+
+
 def test_toxicity_model_by_brute_force(spark):
     """Every word's difference, from plain counts without cut-offs: discounted bigrams, backed off to discounted continuations, backed off to the words of all documents."""
     rng = random.Random(8)

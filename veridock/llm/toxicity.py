@@ -16,7 +16,8 @@ from .common import cut, text_or_empty, whole_row
 #: Absolute discounts, by count n: max(SMALL, SPREAD * sqrt(n)), so that counts which differ by chance alone are left to the shared backoff.
 SMALL_BIGRAM, SMALL_WORD, SPREAD = 0.75, 3.0, 2.0
 #: Mass that both classes leave to the shared backoff; weight of the uniform distribution in it; strength (in words) of backing off from a context.
-SHARED, UNIFORM, STRENGTH = 0.02, 0.01, 1e5
+#: The mass bounds what chance says: a word counted just over NOTHING in one class and not in the other must stay far below STRONG (at 0.02 it is over it).
+SHARED, UNIFORM, STRENGTH = 0.2, 0.01, 1e5
 #: Words that speak for a class by more than STRONG (nats) are also summed up by themselves.
 STRONG = 2.0
 #: Bounds of the labelled samples (rows): per class for the counts, in all for the calibration.
