@@ -176,6 +176,40 @@ def test_long_lists_are_compared_in_blocks(spark):
         assert {r["doc_id"] for r in sets.groupBy("g").agg(F.min("doc_id").alias("doc_id")).collect()} == want
 
 
+def test_the_near_dedup_stage_is_simhash(spark):
+    """Fingerprints against plain counting; the index's lists against every pair of fingerprints; without an index there are no links."""
+    texts = [t for t in near_copies() if t and t.strip()]
+    sets = [near_dedup.shingles(t, 5) for t in texts] + [np.arange(1, n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for n in (256, 257, 700)]
+    prints = near_dedup.fingerprints(sets)
+    for s, p in zip(sets, prints, strict=True):
+        for times, word in zip(near_dedup._TIMES, p, strict=True):
+            h = near_dedup.mixed(s * times)
+            assert int(word) == sum(1 << b for b in range(64) if 2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > len(s))
+    rows = spark.createDataFrame([(i, bytearray(p.tobytes())) for i, p in enumerate(prints)], "sid long, print binary").repartition(3)
+    lists = defaultdict(set)
+    for r in near_dedup.by_part(rows.mapInPandas(near_dedup._posted(64), near_dedup.PARTS), 4, near_dedup._listed, near_dedup.LISTED).collect():
+        lists[r["key"]].add(r["sid"])
+        assert r["a"] in lists[r["key"]] or r["a"] < r["sid"]
+    met = {(i, j) for x in lists.values() for i, j in itertools.combinations(sorted(x), 2)}
+    data = prints.view(np.uint8)
+    a, b = near_dedup._POSITIONS.T
+    want = set()
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        equal = data[i] == data[j]
+        if (equal[a] & equal[b]).any() and np.bitwise_count(prints[i, :2] ^ prints[j, :2]).sum() <= near_dedup.MOST_BITS:
+            want.add((i, j))
+    assert want <= met
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        n = len(np.intersect1d(sets[i], sets[j]))
+        assert (i, j) in met or n < 0.8 * (len(sets[i]) + len(sets[j]) - n)
+    rec = np.zeros(400, near_dedup.POSTING)
+    rng = np.random.default_rng(6)
+    rec["key"], rec["sid"] = rng.integers(0, 3, 400), np.arange(400)
+    rec["low"] = np.array([0, 2**64 - 1], np.uint64)[rng.integers(0, 2, 400)] ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64))
+    short, long = near_dedup.candidates(rec), near_dedup.candidates(rec, long=1)
+    assert (short[1] == long[1]).all() and len(set(short[1])) == 6
+
+
 def test_stages_take_columns_of_any_name(spark):
     rows = [(1, "a b c d e f", "s", 1, 2, 3, 4.0, 5, {"k": "v"}), (2, "a b c d e f", "s", 1, 2, 3, 4.0, 5, {"k": "v"}), (3, "\t", "s", 1, 2, 3, 4.0, 5, None), (4, "\n\t", "s", 1, 2, 3, 4.0, 5, None)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string, _gone int, row int, k int, _score double, tied int, extra map<string,string>")

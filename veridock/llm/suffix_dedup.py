@@ -94,9 +94,10 @@ def packed(kind: int, part: np.ndarray, records: np.ndarray) -> pd.DataFrame:
 
 
 class Outbox:
-    """Records on their way to parts, by kind; passed on in blobs once there are FLUSH bytes of a kind."""
+    """Records on their way to parts, by kind; passed on in blobs once there are so many bytes of a kind."""
 
-    def __init__(self):
+    def __init__(self, flush: int = FLUSH):
+        self.flush = flush
         self.waiting: dict[int, list] = {}
         self.bytes: dict[int, int] = {}
 
@@ -104,7 +105,7 @@ class Outbox:
         if len(records):
             self.waiting.setdefault(kind, []).append((part, records))
             self.bytes[kind] = self.bytes.get(kind, 0) + records.nbytes
-            if self.bytes[kind] >= FLUSH:
+            if self.bytes[kind] >= self.flush:
                 yield self._send(kind)
 
     def _send(self, kind: int) -> pd.DataFrame:
