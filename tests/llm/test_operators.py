@@ -293,6 +293,28 @@ def test_words_are_told_apart_by_their_bytes():
     assert [x.tolist() for x in packing.WordIds(WORDS).encode(texts)] == [w.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_new_words_go_to_the_library_together():
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.texts = tokenizer, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.texts += len(texts)
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcdefghéß,'漢\u0301\xa0") for _ in range(rng.randint(1, 60))) for _ in range(200)) for _ in range(20)]
+    own, w = packing.WordIds(WORDS), Tokenizer.from_file(WORDS)
+    own.tokenizer = counted = Counted(own.tokenizer)
+    same = lambda: [x.tolist() for x in own.encode(texts)] == [w.encode(x, add_special_tokens=False).ids for x in texts]
+    assert same() and counted.texts < 50
+    texts = [f"a{packing.SEPARATOR}b new {packing.SEPARATOR} <|endoftext|> <|x", "other\x02 words \x02"]  # words that hold the separator go one by one
+    assert same()
+    long = ["p" * n + x for n in (5, 8, 63, 64, 65, 200) for x in ("", "q", "r")]  # told apart by their last byte
+    texts = [" ".join(long), " ".join(reversed(long))]
+    assert same()
+
+
 def test_every_character_has_the_librarys_class():
     import unicodedata
 

@@ -102,6 +102,16 @@ class Table:
             slot[left] = np.where(self.used[slot[left]], (slot[left] + 1) & ((1 << self.bits) - 1), slot[left])
 
 
+#: The lowest k bytes of a word of eight; bytes of a string that are compared eight at a time.
+_LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+BY_EIGHT = 64
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of data on, but for the last seven places."""
+    return np.ndarray((max(0, len(data) - 7),), "<u8", data, strides=(1,))
+
+
 class Known:
     """Numbers distinct byte strings as they are first met. Hashes find a string's place, and its bytes are compared with what is kept there, so strings
     that share a hash stay apart. Beyond `most` strings or `most_bytes` bytes it begins anew."""
@@ -120,7 +130,7 @@ class Known:
         size = ends - starts
         while self.n + len(size) > len(self.size):
             self.begin, self.size = np.r_[self.begin, np.zeros_like(self.begin)], np.r_[self.size, np.zeros_like(self.size)]
-        while self.used + size.sum() > len(self.arena):
+        while self.used + size.sum() + BY_EIGHT > len(self.arena):
             self.arena = np.r_[self.arena, np.zeros_like(self.arena)]
         places = np.arange(self.n, self.n + len(size))
         self.begin[places], self.size[places] = self.used + np.cumsum(size) - size, size
@@ -144,7 +154,14 @@ class Known:
             slot, _ = self.table.find(keys)
         at = self.table.values[slot].astype(np.int64)
         other = self.size[at] != size
-        same = np.flatnonzero(~other)
+        same, met = np.flatnonzero(~other), 0
+        own, kept = _eights(np.r_[data, np.zeros(BY_EIGHT, np.uint8)]), _eights(self.arena)
+        while len(same) and met < BY_EIGHT:
+            place, part = at[same], _LOWEST[np.minimum(size[same] - met, 8)]
+            differs = (own[starts[same] + met] ^ kept[self.begin[place] + met]) & part != 0
+            other[same[differs]] = True
+            met += 8
+            same = same[~differs & (size[same] > met)]
         if len(same):
             differs = data[_within(starts[same], size[same])] != self.arena[_within(self.begin[at[same]], size[same])]
             if differs.any():

@@ -22,6 +22,8 @@ CAPACITY, END_ID = 4096, 2
 PER_TASK = 1 << 34
 #: Texts tokenised at once, in characters.
 AT_ONCE = 1 << 19
+#: New words given to the library as one text, and what stands between them there.
+AT_ONCE_WORDS, SEPARATOR = 1024, "\x02"
 
 SPACE_BYTE, WORD_BYTE, MARK_BYTE, GLUE_BYTE = range(4)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -44,6 +46,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.separator = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
         self.known = Known()
         self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)  # part i has ids[first[i]:first[i + 1]]
 
@@ -52,14 +55,27 @@ class WordIds:
         if anew:
             self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
         if len(fresh):
-            raw, made = data.tobytes(), []
+            raw = data.tobytes()
             words = [raw[s:e].decode("utf-8") for s, e in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)]
-            for i in range(0, len(words), 4096):
-                made += [x.ids for x in self.tokenizer.encode_batch_fast(words[i : i + 4096], add_special_tokens=False)]
-            self.first = np.r_[self.first, self.first[-1] + np.cumsum([len(x) for x in made])]
-            self.ids = np.r_[self.ids, np.fromiter(chain.from_iterable(made), np.uint32)]
+            made = [self._made(words[i : i + AT_ONCE_WORDS]) for i in range(0, len(words), AT_ONCE_WORDS)]
+            self.first = np.r_[self.first, self.first[-1] + np.cumsum(np.concatenate([n for n, _ in made]))]
+            self.ids = np.concatenate([self.ids, *(ids for _, ids in made)])
         return at
 
+    def _made(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, their ids in a row), by the library.
+
+        It reads one text in which a separator follows each word, with white space around it. If it gives the separator's id as often as there are words,
+        then no word has that id, and what lies between two of them is a word's ids. Otherwise it reads each word by itself.
+        """
+        if len(self.separator) == 1:
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(f"{w} {SEPARATOR} " for w in words)], add_special_tokens=False)[0].ids, np.uint32)
+            after = ids == self.separator[0]
+            if after.sum() == len(words):
+                return np.diff(np.flatnonzero(after), prepend=-1) - 1, ids[~after]
+        each = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([len(x) for x in each], np.int64), np.fromiter(chain.from_iterable(each), np.uint32)
+
     def _encode(self, texts: list[str], marks: bool) -> list[np.ndarray]:
         encoded = [t.encode("utf-8") for t in texts]
         data = np.frombuffer(b"\n".join(encoded) + b"\n", np.uint8)
