@@ -176,6 +176,61 @@ def test_long_lists_are_compared_in_blocks(spark):
         assert {r["doc_id"] for r in sets.groupBy("g").agg(F.min("doc_id").alias("doc_id")).collect()} == want
 
 
+def rows_of_joins(spark, since):
+    """The rows that each join made, in executions after the one numbered `since`; and the number of the last one."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store, made = spark._jsparkSession.sharedState().statusStore(), []
+    ids = [store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())]
+    for e in (e for e in ids if e > since):
+        values, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            metrics = [node.metrics().apply(i) for i in range(node.metrics().size())] if "Join" in node.name() else []
+            made += [int(values.get(m.accumulatorId()).get().replace(",", "")) for m in metrics if m.name() == "number of output rows" and values.get(m.accumulatorId()).isDefined()]
+    return made, max(ids, default=-1)
+
+
+def test_lists_that_become_one_make_a_row_per_member(spark):
+    rng = random.Random(8)
+    links = [(0, i) for i in range(1, 40)] + [(1000, i) for i in range(1001, 1200)]
+    lists = {k: rng.sample(range(40), 20) + rng.sample(range(100, 106), 2) for k in range(60)}
+    lists |= {60: [1000, 1001, 500], 61: [1000, 1001, 501]}  # of a component so large that they stay apart
+    lists |= {62: [2000, 2002], 63: [2001, 2002], 64: [5, 6, 7]}  # without links; within a component
+    frame = lambda rows, schema: near_dedup.cut(spark.createDataFrame(rows, schema).repartition(2))
+    shared = [(-k - 1, s) for k, members in lists.items() for s in members]
+    _, since = rows_of_joins(spark, -1)
+    got = defaultdict(set)
+    for r in near_dedup._left(frame(links, "a long, b long"), frame(shared, "key long, sid long"), 100_000, 16).collect():
+        got[r["key"], r["n"], r["home"]].add((r["sid"], r["c"]))
+    far = {(i, i) for i in range(100, 106)}
+    assert got == {
+        (0, 46, 0): {(i, 0) for i in range(40)} | far,
+        (-61, 3, 1000): {(1000, 1000), (1001, 1000), (500, 500)},
+        (-62, 3, 1000): {(1000, 1000), (1001, 1000), (501, 501)},
+        (2002, 3, 2002): {(i, i) for i in (2000, 2001, 2002)},
+    }
+    made, _ = rows_of_joins(spark, since)
+    assert sorted(made)[-1] == len(shared)  # once, to name the members' components
+    assert sum(n >= len(shared) / 2 for n in made) == 1
+
+
+def test_lists_that_become_one_lose_no_pair(spark):
+    rng = random.Random(9)
+    links = [(a, b) for a, b in (sorted(rng.sample(range(60), 2)) for _ in range(40))] + [(100, i) for i in range(101, 130)]
+    lists = [rng.sample([*range(60), *range(100, 130)], rng.choice((2, 2, 3, 5, 12, 30))) for _ in range(80)]
+    label = {}
+    for r in near_dedup.connected_components(spark.createDataFrame(links, "a long, b long")).collect():
+        label[r["node"]] = r["component"]
+    shared = [(-k - 1, s) for k, members in enumerate(lists) for s in members]
+    for broadcast_rows, short in ((100_000, 16), (0, 3)):
+        got = defaultdict(dict)
+        for r in near_dedup._left(spark.createDataFrame(links, "a long, b long"), spark.createDataFrame(shared, "key long, sid long"), broadcast_rows, short).collect():
+            assert r["sid"] not in got[r["key"]]
+            got[r["key"]][r["sid"]] = r["c"], r["c"] != r["home"], r["n"]
+        assert all(n == len(members) for members in got.values() for _, _, n in members.values())
+        met = {(x, y) for members in got.values() for x, y in itertools.combinations(sorted(members), 2) if members[x][0] != members[y][0] and (members[x][1] or members[y][1])}
+        assert {(x, y) for m in lists for x, y in itertools.combinations(sorted(m), 2) if label.get(x, x) != label.get(y, y)} <= met
+
+
 def test_the_near_dedup_stage_is_simhash(spark):
     """Fingerprints against plain counting; the index's lists against every pair of fingerprints; without an index there are no links."""
     texts = [t for t in near_copies() if t and t.strip()]

@@ -217,25 +217,34 @@ def _left(links: DataFrame, shared: DataFrame, broadcast_rows: int, short: int)
 
     Components may be too small, as two rounds are enough to tell most members of a list apart from those that are linked.
 
-    Lists may have most members in common. Those with members of one component (of a list's components, the one that is the largest anywhere) become one
-    list, whose home it is, where that takes no more comparisons; a pair that becomes a row, as in a list of up to `short`, counts as PAIR_COST of them.
+    Lists may have most members in common. Those with members of one component (of a list's components, top, the one that is the largest anywhere) become
+    one list, whose home it is, where that takes no more comparisons; a pair that becomes a row, as in a list of up to `short`, counts as PAIR_COST of them.
+    The one list has that whole component, a row per member however many lists a member was in, and of its lists the members of other components.
     """
     member = connected_components(links, most_rounds=2)
+    roots = member.select(F.col("component").alias("node")).distinct().join(member.select("node"), "node", "left_anti")
+    member = cut(member.unionAll(roots.select("node", F.col("node").alias("component"))))
     named = join_checked(shared, member.withColumnRenamed("node", "sid"), "sid", "left", member.count(), broadcast_rows)
     named = cut(named.select("key", "sid", F.coalesce("component", "sid").alias("c")))
     weight = cut(member.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("weight")))
     each = join_checked(named.groupBy("key", "c").agg(F.count("*").alias("m")), weight, "c", "left", weight.count(), broadcast_rows)
     best = lambda *by: F.max_by("c", F.struct(*by, "c"))
-    torn = each.groupBy("key").agg(F.count("*").alias("parts"), F.sum("m").alias("n"), F.max("m").alias("most"), best("m").alias("home"), best(F.coalesce("weight", F.lit(1))).alias("top"))
+    torn = each.groupBy("key").agg(F.count("*").alias("parts"), F.sum("m").alias("n"), F.max("m").alias("most"), best("m").alias("home"), best(F.coalesce("weight", F.lit(1))).alias("top"), F.max("weight").alias("size"))
     cost = F.col("n") * (F.col("n") - F.col("most")) * F.when(F.col("n") <= short, PAIR_COST).otherwise(1)
-    torn = cut(torn.where("parts > 1").select("key", "n", "home", "top", cost.alias("cost")))
-    own = cut(join_checked(named, torn.drop("cost"), "key", "inner", torn.count(), broadcast_rows))
-    union = own.select("top", "sid", "c").distinct().groupBy("top").agg(F.count("*").alias("all"), F.sum((F.col("c") != F.col("top")).cast("int")).alias("far"))
-    union = union.join(torn.groupBy("top").agg(F.sum("cost").alias("cost"), F.count("*").alias("lists")), "top").where("lists > 1 AND all * far <= cost")
-    union = cut(union.select("top", "all"))
-    own = join_checked(own, union, "top", "left", union.count(), broadcast_rows)
-    as_one = lambda x, y: F.when(F.col("all").isNull(), F.col(x)).otherwise(F.col(y)).alias(x)
-    return cut(own.select(as_one("key", "top"), "sid", "c", as_one("n", "all"), as_one("home", "top")).distinct())
+    torn = cut(torn.where("parts > 1").select("key", "n", "home", "top", "size", cost.alias("cost")))
+    lists = torn.count()
+    far = join_checked(named, torn.select("key", "top"), "key", "inner", lists, broadcast_rows).where("c <> top")  # a condition of the join: other rows are not made
+    far = cut(far.select("top", "sid", "c").distinct())
+    union = torn.groupBy("top").agg(F.sum("cost").alias("cost"), F.count("*").alias("lists"), F.max("size").alias("size")).where("lists > 1")
+    union = far.groupBy("top").agg(F.count("*").alias("far")).join(union, "top").withColumn("n", F.col("far") + F.coalesce("size", F.lit(1)))
+    union = cut(union.where("n * far <= cost").select("top", "n", F.col("size").isNull().alias("alone")))
+    unions = union.count()
+    near = join_checked(member.select(F.col("component").alias("top"), F.col("node").alias("sid"), F.col("component").alias("c")), union, "top", "inner", unions, broadcast_rows)
+    near = near.select("top", "sid", "c", "n").unionAll(union.where("alone").select("top", F.col("top").alias("sid"), F.col("top").alias("c"), "n"))
+    as_one = join_checked(far, union.drop("alone"), "top", "inner", unions, broadcast_rows).select("top", "sid", "c", "n").unionAll(near)
+    alone = cut(join_checked(torn, union, "top", "left_anti", unions, broadcast_rows).select("key", "n", "home"))
+    own = join_checked(named, alone, "key", "inner", alone.count(), broadcast_rows)
+    return cut(own.select("key", "sid", "c", "n", "home").unionAll(as_one.select(F.col("top").alias("key"), "sid", "c", "n", F.col("top").alias("home"))))
 
 
 def near_sets(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, broadcast_rows: int = BROADCAST_ROWS, short: int = SHORT, block_rows: int = BLOCK_ROWS) -> DataFrame:
