@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from zlib import crc32
 
@@ -313,6 +314,28 @@ def test_suffix_dedup(docs, none):
     assert suffix_dedup.suffix_dedup(none).count() == 0
 
 
+def test_suffix_dedup_keeps_no_shuffle_that_is_done(spark, monkeypatch):
+    live = lambda: set(filter(None, spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().keys().mkString(",").split(",")))
+    dropped = spark.sparkContext._gateway._gateway_client.finalizer_deque
+    made, left, release = [], [], suffix_dedup.release
+
+    def seen(session):
+        made.append(live() - before)
+        spark._jvm.java.lang.Object()
+        while dropped:  # what tells the JVM of dropped frames has just gone to sleep
+            time.sleep(0.001)
+        release(session)
+        left.append(live() - before)
+
+    monkeypatch.setattr(suffix_dedup, "release", seen)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_DOCS", 0)  # texts are shuffled
+    d = spark.createDataFrame([(i, f"{i % 7} " + "to be removed " * 20) for i in range(50)], "doc_id long, text string")
+    before = live()
+    out = suffix_dedup.suffix_dedup(d)
+    assert all(made) and not any(left)
+    assert out.where("n_removed > 0").count() == 50
+
+
 #: Two words that a polynomial hash of 64 bits with one fixed multiplier can't tell apart.
 ALIKE = "m" * 28, "mkkpmkjknkkknmokljjnnmmmolmm"
 

@@ -8,6 +8,7 @@ import tempfile
 import time
 import uuid
 
+from py4j.clientserver import DEFAULT_WORKER_SLEEP_TIME
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,9 +50,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files that nothing refers to any more: what was shuffled before a cut needn't stay on disk."""
+    """Lets Spark delete shuffle files that nothing refers to any more: what was shuffled before a cut needn't stay on disk.
+
+    The JVM learns of frames that Python let go from a thread of py4j that may sleep so long; collected earlier, it would keep their shuffles.
+    """
+    gc.collect()
+    time.sleep(DEFAULT_WORKER_SLEEP_TIME + 0.3)
     for _ in range(2):  # the second pass frees what the first one's finalisers let go
-        gc.collect()
         spark._jvm.System.gc()
         time.sleep(0.3)
 

@@ -487,6 +487,8 @@ def covered_places(docs: DataFrame, hot_floor: int = HOT_FLOOR) -> DataFrame:
     leads = few.mapInPandas(_sampled_leads(share), "lead binary").limit(2 * MOST_SAMPLED).toPandas()["lead"]
     sample = np.sort((np.frombuffer(b"".join(leads), np.uint8) + np.uint8(1)).view(f"S{LEAD}"))
     splitters = sample[:: max(1, len(sample) // parts)] if len(sample) else sample
+    del few
+    release(spark)  # the texts that the sample shuffled, all of them if there are few places
     work, done = _buckets(parts)
     sent = marked.mapInPandas(_suffixes(parts, spark.sparkContext.broadcast(splitters), spark.sparkContext.broadcast(np.sort(hot))), PARTS)
     settled = by_part(sent, tasks, work, PARTS, done)
