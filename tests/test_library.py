@@ -204,3 +204,11 @@ def test_pagerank_on_disk_and_in_memory_agree(spark):
     small = {r["node"]: r["rank"] for r in graph.converged_pagerank(edges, reset, tol=1e-3).collect()}
     large = {r["node"]: r["rank"] for r in graph.converged_pagerank(edges, reset, tol=1e-3, in_memory=0).collect()}
     assert small.keys() == large.keys() == {1, 2, 3, 4, 9} and all(abs(small[k] - large[k]) < 1e-12 for k in small)
+
+
+def test_words_unknown_to_a_shared_reference(spark):
+    s = spark.createDataFrame([("a", "Árbol casa casa tabla nube"), ("b", "nube x"), ("c", None)], "name string, markdown string")
+    reference = spark.createDataFrame([("ARBOL nuBe",), (None,)], "text string")
+    unknown = gates.words_unknown_to(s, reference)
+    assert {tuple(r) for r in unknown.collect()} == {("a", "casa", 2), ("b", "x", 1)}
+    assert {tuple(r) for r in gates.words_unknown_to(s, reference.limit(0)).collect()} == {("a", "arbol", 1), ("a", "casa", 2), ("a", "nube", 1), ("b", "nube", 1), ("b", "x", 1)}
