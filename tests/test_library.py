@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,3 +213,29 @@ def test_words_unknown_to_a_shared_reference(spark):
     unknown = gates.words_unknown_to(s, reference)
     assert {tuple(r) for r in unknown.collect()} == {("a", "casa", 2), ("b", "x", 1)}
     assert {tuple(r) for r in gates.words_unknown_to(s, reference.limit(0)).collect()} == {("a", "arbol", 1), ("a", "casa", 2), ("a", "nube", 1), ("b", "nube", 1), ("b", "x", 1)}
+
+
+def test_blocked_products_have_one_pair_of_blocks_at_a_time(spark):
+    rng = np.random.default_rng(5)
+    v = rng.integers(-3, 4, (60, 8)).astype(float)
+    v[7] = v[3]  # ties
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(60, None)], "id long, v array<double>")
+    asked = rows.where("id % 6 = 0")
+    sims = v @ v.T
+    got = graph.dense_top_k(rows, asked, 4, unit=False, side=8)
+    assert {(r["query"], r["rank"]): r["id"] for r in got.collect()} == {(q, n + 1): i for q in range(0, 60, 6) for n, i in enumerate(sorted(range(60), key=lambda i: (-sims[q, i], i))[:4])}
+    assert graph.dense_top_k(rows, asked, 100, unit=False, side=8).count() == 600
+    pairs = graph.similar_pairs(rows, 12, side=8)
+    assert {(r["a"], r["b"], r["similarity"]) for r in pairs.collect()} == {(a, b, sims[a, b]) for a in range(60) for b in range(a + 1, 60) if sims[a, b] >= 12}
+    for d in (got, pairs):  # a joined row of two blocks came to Python in batches of as many rows as a task had
+        assert "FlatMapGroupsInArrow" in (plan := d._jdf.queryExecution().toString()) and "MapInPandas" not in plan
+    assert graph.similar_pairs(rows.limit(0), 1).count() == graph.dense_top_k(rows.limit(0), asked, 3).count() == 0
+
+
+def test_best_scores(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TILE", 3)
+    v = np.random.default_rng(6).normal(size=(50, 4))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    got = graph.best_scores(rows, rows.where("id < 20").withColumn("id", F.col("id") % 3), side=16)
+    want = {(q, i): max(round(float(v[j] @ v[i]), 6) for j in range(q, 20, 3)) for q in range(3) for i in range(50)}
+    assert {(r["query"], r["id"]): r["score"] for r in got.collect()} == pytest.approx(want) and got.count() == 150

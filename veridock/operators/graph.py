@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -124,74 +125,154 @@ def converged_pagerank(edges: DataFrame, reset: DataFrame, alpha: float = 0.85,
     return rank.limit(0)
 
 
-#: Rows of one side of a product; a block of 64 numbers each takes 2 MB.
-SIDE = 4096
+#: Rows of one side of a product, a block of 64 numbers each takes 4 MB; rows of a side that are multiplied at once.
+SIDE, TILE = 16384, 256
 
 
 def blocks_of(vectors: DataFrame, side: int = SIDE) -> DataFrame:
-    """vectors(id, v) as (block, ids, rows): up to about `side` rows each, by a hash of the id."""
-    n = max(1, -(-vectors.count() // side))
-    return vectors.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+    """vectors(id, v) as (block, ids, v): up to about `side` rows each, by a hash, with their numbers in one flat array. Rows without id or vector go."""
+    own = vectors.where("id IS NOT NULL AND v IS NOT NULL")
+    n = max(1, -(-own.count() // side))
+    gathered = own.groupBy(F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+    return gathered.select("block", F.transform("rows", lambda r: r["id"]).alias("ids"), F.flatten(F.transform("rows", lambda r: r["v"])).alias("v"))
+
+
+def _met(left: DataFrame, right: DataFrame, n: int) -> GroupedData:
+    """Blocks by the pair (x, y) that they belong to. A group is at most two rows, and Python has one group at a time, however many pairs a task has."""
+    cols = [F.col("side"), F.col("ids"), F.col("v")]
+    both = left.withColumn("side", F.lit(0)).select("x", "y", *cols).unionAll(right.withColumn("side", F.lit(1)).select("x", "y", *cols))
+    return both.repartition(max(1, min(n, 4000)), "x", "y").groupBy("x", "y")
+
+
+def _sides(batches: Iterator[pa.RecordBatch]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """A group's two sides as (ids, matrix), in the order of the ids."""
+    got = {}
+    for batch in batches:
+        for side, ids, v in zip(batch.column("side").to_pylist(), batch.column("ids"), batch.column("v"), strict=True):
+            names = ids.values.to_numpy(zero_copy_only=False)
+            order = np.argsort(names, kind="stable")
+            got[side] = names[order], v.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(names), -1)[order]
+    return got
+
+
+def _last(blocks: DataFrame) -> int:
+    """The largest block number; -1 if there are no blocks."""
+    n = blocks.agg(F.max("block")).first()[0]
+    return -1 if n is None else n
+
+
+def _every_pair(asked: DataFrame, held: DataFrame) -> GroupedData | None:
+    n, m = _last(asked), _last(held)
+    if min(n, m) < 0:
+        return None
+    left = asked.withColumnRenamed("block", "x").withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(m))))
+    right = held.withColumnRenamed("block", "y").withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(n))))
+    return _met(left, right, (n + 1) * (m + 1))
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, side: int = SIDE) -> DataFrame:
     """(a, b, similarity) of all pairs a < b whose dot product reaches the threshold, by blocked matrix products.
 
-    vectors(id long, v array). Blocks of `side` rows are gathered once; a pair of blocks is a row of two block numbers, joined to its two blocks, so N * N / side
-    vectors are moved (an eighth of what blocks of 512 move) and no task holds more than two blocks.
+    vectors(id long, v array). Blocks of `side` rows are gathered once and go to every pair of blocks that they are in, so N * N / side vectors are moved. A task
+    holds two blocks and the products of TILE rows with a block.
     """
     blocks = cut(blocks_of(vectors, side))
-    n = blocks.agg(F.max("block")).first()[0]
-    pairs = vectors.sparkSession.range((n or 0) + 1).select(F.col("id").cast("int").alias("x"))
-    pairs = pairs.withColumn("y", F.explode(F.sequence("x", F.lit(n or 0))))
-    left, right = (blocks.select(F.col("block").alias(c), F.col("rows").alias(f"r{c}")) for c in "xy")
-
-    def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for x, y, p, q in zip(batch["x"], batch["y"], batch["rx"], batch["ry"], strict=True):
-                a, b = (np.array([r["id"] for r in z], np.int64) for z in (p, q))
-                v, w = (np.stack([np.asarray(r["v"], np.float64) for r in z]) for z in (p, q))
-                sims = v @ w.T
-                i, j = np.nonzero(sims >= threshold)
-                keep = a[i] < b[j] if x == y else a[i] != b[j]
-                i, j = i[keep], j[keep]
-                yield pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "similarity": sims[i, j]})
-
-    return pairs.join(left, "x").join(right, "y").mapInPandas(product, "a long, b long, similarity double")
+    n = _last(blocks)
+    schema = "a long, b long, similarity double"
+    if n < 0:
+        return vectors.sparkSession.createDataFrame([], schema)
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides = _sides(batches)
+        if len(sides) < 2:
+            return
+        (a, v), (b, w) = sides[0], sides[1]
+        same = len(a) == len(b) and bool((a == b).all())  # blocks share no rows unless they are one
+        for at in range(0, len(a), TILE):
+            sims = v[at : at + TILE] @ w.T
+            i, j = np.nonzero(sims >= threshold)
+            own = a[at : at + TILE][i]
+            keep = own < b[j] if same else own != b[j]
+            i, j, own = i[keep], j[keep], own[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own, b[j])), pa.array(np.maximum(own, b[j])), pa.array(sims[i, j])], names=["a", "b", "similarity"])
+
+    left = blocks.withColumnRenamed("block", "x").withColumn("y", F.explode(F.sequence("x", F.lit(n))))
+    right = blocks.withColumnRenamed("block", "y").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("y"))))
+    return _met(left, right, (n + 1) * (n + 2) // 2).applyInArrow(product, schema)
+
+
+def _scaled(v: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return v / np.where(norm == 0, 1, norm)
 
 
 def dense_top_k(rows: DataFrame, queries: DataFrame, k: int, digits: int = 6, side: int = SIDE, unit: bool = True) -> DataFrame:
     """(query, id, score, rank): for each of queries(id, v) the k rows(id, v) of highest cosine (or dot product, if not unit), ties to the smaller id. A zero vector
     has cosine 0.
 
-    Both are gathered into blocks, and a pair of blocks is a row of two block numbers, joined to its two blocks. What leaves a pair is the k best of each
-    query, so no pair of vectors becomes a row, and nothing is broadcast. Scores are rounded to `digits` before they are ranked.
+    Both are gathered into blocks, and every pair of blocks meets. What leaves a pair is the k best of each query, so no pair of vectors becomes a row, and nothing
+    is broadcast; TILE queries are multiplied with a block at once. Scores are rounded to `digits` before they are ranked.
     """
-    asked, held = cut(blocks_of(queries, side)), cut(blocks_of(rows, side))
-    n, m = (x.agg(F.max("block")).first()[0] for x in (asked, held))
-
-    def scaled(rows_) -> np.ndarray:
-        v = np.stack([np.asarray(x, np.float64) for x in rows_])
-        if not unit:
-            return v
-        norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
-        return v / np.where(norm == 0, 1, norm)
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for block, held in zip(batch["asked"], batch["held"], strict=True):
-                ids, names = (np.array([r["id"] for r in z], np.int64) for z in (held, block))
-                sims = np.round(scaled([r["v"] for r in block]) @ scaled([r["v"] for r in held]).T, digits)
-                order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :k]
-                yield pd.DataFrame({"query": np.repeat(names, order.shape[1]), "id": ids[order].ravel(), "score": np.take_along_axis(sims, order, axis=1).ravel()})
-
-    pairs = rows.sparkSession.range((m or 0) + 1).select(F.col("id").cast("int").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(n or 0))).alias("x"))
-    both = pairs.join(asked.select(F.col("block").alias("x"), F.col("rows").alias("asked")), "x").join(held.select(F.col("block").alias("y"), F.col("rows").alias("held")), "y")
-    found = both.mapInPandas(best, "query long, id long, score double")
+    met, schema = _every_pair(cut(blocks_of(queries, side)), cut(blocks_of(rows, side))), "query long, id long, score double"
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides = _sides(batches)
+        if len(sides) < 2:
+            return
+        (names, q), (ids, v) = [(i, _scaled(x) if unit else x) for i, x in (sides[0], sides[1])]
+        for at in range(0, len(names), TILE):
+            sims = np.round(q[at : at + TILE] @ v.T, digits)
+            if k < len(ids):
+                i, j = np.nonzero(sims >= np.partition(sims, len(ids) - k, axis=1)[:, [len(ids) - k]])
+            else:
+                i, j = (x.ravel() for x in np.indices(sims.shape))
+            score = sims[i, j]
+            order = np.lexsort((-score, i))  # stable, and ids are in order: ties to the smaller id
+            i, j, score = i[order], j[order], score[order]
+            keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+            yield pa.RecordBatch.from_arrays([pa.array(names[at : at + TILE][i[keep]]), pa.array(ids[j[keep]]), pa.array(score[keep])], names=["query", "id", "score"])
+
+    found = met.applyInArrow(best, schema) if met else rows.sparkSession.createDataFrame([], schema)
     w = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def best_scores(rows: DataFrame, queries: DataFrame, digits: int = 6, side: int = SIDE) -> DataFrame:
+    """(query, id, score): of each of rows(id, v) the highest dot product, rounded, with the vectors that a query has; queries(id, v) has a row per vector.
+
+    As in dense_top_k, blocks meet; a pair leaves a row per query and id, whatever the number of a query's vectors.
+    """
+    met, schema = _every_pair(cut(blocks_of(queries.distinct(), side)), cut(blocks_of(rows, side))), "query long, id long, score double"
+    if not met:
+        return rows.sparkSession.createDataFrame([], schema)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides = _sides(batches)
+        if len(sides) < 2:
+            return
+        (names, q), (ids, v) = sides[0], sides[1]
+
+        def told(own: np.ndarray, top: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(own, len(ids))), pa.array(np.tile(ids, len(own))), pa.array(top.ravel())], names=["query", "id", "score"])
+
+        last, most = None, None  # the query that a tile may end in, and its scores so far
+        for at in range(0, len(names), TILE):
+            own, start = np.unique(names[at : at + TILE], return_index=True)
+            top = np.maximum.reduceat(np.round(q[at : at + TILE] @ v.T, digits), start, axis=0)
+            if last is not None and own[0] == last:
+                top[0] = np.maximum(top[0], most)
+            elif last is not None:
+                yield told(np.array([last]), most)
+            if len(own) > 1:
+                yield told(own[:-1], top[:-1])
+            last, most = own[-1], top[-1]
+        if last is not None:
+            yield told(np.array([last]), most)
+
+    found = met.applyInArrow(best, schema)
+    return found.groupBy("query", "id").agg(F.max("score").alias("score"))
+
+
 def flatten_triples(extracted: DataFrame) -> DataFrame:
     """(chunk_id, subject, relation, object) of extracted(chunk_id, triples array of arrays of three); others are left out."""
     each = extracted.select("chunk_id", F.explode("triples").alias("x")).where(F.size("x") == 3)
