@@ -86,8 +86,8 @@ SELECT q, vec_id, concept, rank, round(CASE WHEN max(score) OVER w = min(score)
 def a8_distinct_concepts(spark, sf):
     """Three questions whose keywords are every twentieth vector."""
     e = t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    n = e.count()  # every score is wanted: the best of each vector over a question's keywords
-    s = graph.dense_top_k(e, e.where("id % 20 = 0"), n, unit=False).select((F.col("query") % 60).alias("q"), F.col("id").alias("vec_id"), "score")
+    asked = e.where("id % 20 = 0").select((F.col("id") % 60).alias("id"), "v")
+    s = graph.best_scores(e, asked).select(F.col("query").alias("q"), F.col("id").alias("vec_id"), "score")
     got = modes.distinct_concepts(s, "q", "vec_id", F.col("vec_id") % 50, "score")
     return modes.rescaled(got, ["q"], "score").select("q", "vec_id", "concept", "rank", F.round("score", 6).alias("score"))
 
