@@ -268,3 +268,10 @@ def test_bm25_keeps_the_best_of_each_query(spark, monkeypatch, in_memory):
     got = selection.bm25(d, q, "doc", "q", "text", 6, among=F.col("found"), asked_in_memory=in_memory)
     assert {(r["q"], r["doc"], r["score"], r["rank"]) for r in got.collect()} == want
     assert selection.bm25(d, q.where("q = 3"), "doc", "q", "text", 6, asked_in_memory=in_memory).count() == selection.bm25(d.limit(0), q, "doc", "q", "text", 6, asked_in_memory=in_memory).count() == 0
+
+
+def test_long_texts_are_folded_by_runs_and_once_a_step(spark):
+    assert one(spark, tx.fold(F.lit("Árbol, niño ﬁn ½ Ａ Ωμέγα é"))) == "arbol, nino fin ½ a ωμεγα e"
+    assert one(spark, tx.strip_accents(F.lit(None).cast("string"))) is None and one(spark, tx.strip_accents(F.lit(""))) == ""
+    plan = spark.range(1).select(tx.expand_abbreviations(F.col("id").cast("string"), [("A", "uno"), ("B", "dos"), ("C", "tres")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("id#") < 8  # each step was written out again at every mention of it
